@@ -20,20 +20,41 @@ def normal_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered(text), F.lit("")), BETWEEN), "")
 
 
-def windows(words: Column, width: int, exact: bool) -> Column:
-    """Array of (start, width, hash) of all runs of `width` words. exact: only if these are all the words."""
-    last = F.size(words) - width
-    starts = F.when((last == 0) if exact else (last >= 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(width).alias("width"), F.xxhash64(F.slice(words, i + 1, width)).alias("hash")))
+def run_hashes(rows: DataFrame, widths: list[int], words: str = "words") -> DataFrame:
+    """rows with an array `h<w>` for each width: the hashes of all runs of w words, by start. Runs of 1, 2, 4, ... words
+    are hashed from two of half the width, and any other width from those, so a place costs a few steps at any width."""
+    out = rows.withColumn("_p1", F.transform(words, lambda w: F.xxhash64(w)))
+    have = {1: "_p1"}
+
+    def joined(df: DataFrame, left: str, right: str, shift: int, name: str) -> DataFrame:
+        """Hash of the run at i of `left` and the run at i + shift of `right`."""
+        n = F.greatest(F.size(right) - shift, F.lit(0))
+        return df.withColumn(name, F.zip_with(F.slice(left, 1, n), F.slice(right, shift + 1, n), lambda a, b: F.xxhash64(a, b)))
+
+    p = 1
+    while 2 * p <= max(widths, default=1):
+        out = joined(out, have[p], have[p], p, f"_p{2 * p}")
+        p *= 2
+        have[p] = f"_p{p}"
+    for w in widths:
+        p = 1 << (w.bit_length() - 1)
+        name, done = have[p], p
+        while done < w:
+            p = 1 << ((w - done).bit_length() - 1)
+            out = joined(out, name, have[p], done, f"_q{w}_{done + p}")
+            name, done = f"_q{w}_{done + p}", done + p
+        out = out.withColumn(f"h{w}", F.col(name))
+    return out.select(*(f"`{c}`" for c in rows.columns), *(f"h{w}" for w in widths))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int, item: str, text: str) -> DataFrame:
-    """(hash, words, items): the distinct windows and the ids, as strings, of the items that have each; an item of fewer
-    than n words, but not none, is one window."""
+    """(hash, width, run, items): the distinct windows and the ids, as strings, of the items that have each; an item of
+    fewer than n words, but not none, is one window."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), normal_words(F.col(text)).alias("words"))
-    every = F.concat(windows(F.col("words"), n, False), *(windows(F.col("words"), k, True) for k in range(1, n)))
-    runs = rows.select("item", "words", F.explode(every).alias("w")).select("item", F.col("w.hash").alias("hash"), F.slice("words", F.col("w.start") + 1, F.col("w.width")).alias("run"))
-    return runs.groupBy("hash", "run").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hashed = run_hashes(rows, list(range(1, n + 1)))
+    own = F.concat(*(F.when((F.size("words") == w) if w < n else F.lit(True), F.col(f"h{w}")).otherwise(F.array().cast("array<bigint>")) for w in range(1, n + 1)))
+    runs = hashed.select("item", "words", F.least(F.size("words"), F.lit(n)).alias("width"), F.posexplode(own).alias("at", "hash"))
+    return runs.groupBy("hash", "width", F.slice("words", F.col("at") + 1, F.col("width")).alias("run")).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -50,21 +71,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str =
     BROADCAST_WINDOWS, a count taken beforehand, and joined by hash beyond it.
     """
     known = benchmark_windows(benchmark, n, item, item_text)
-    widths = [r[0] for r in known.select(F.size("run").alias("w")).distinct().collect()]
+    widths = sorted(r[0] for r in known.select("width").distinct().collect())
     few = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    known = known.select(F.col("hash").alias("known"), F.col("width").alias("known_width"), "run", "items")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), normal_words(F.col(text)).alias("words"))
-    sentinel = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("width"), F.lit(None).cast("long").alias("hash")))
-    every = F.concat(sentinel, *(windows(F.col("words"), w, False) for w in sorted(widths)))
-    scanned = rows.select("row", "key", "words", F.size("words").cast("long").alias("n_words"), F.explode(every).alias("w"))
-    scanned = scanned.select("row", "key", "words", "n_words", "w.start", "w.width", "w.hash")
-    known = known.withColumnRenamed("hash", "known")
-    met = (F.col("hash") == F.col("known")) & (F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("width")) == F.col("run"))
-    found = scanned.join(F.broadcast(known) if few else known, met, "left").where("start < 0 or known is not null")
-    found = found.select("row", "key", "n_words", F.when(F.col("start") >= 0, F.struct("start", "width")).alias("span"), "items")
+    sentinel = F.array(F.lit(None).cast("bigint"))
+    scanned = run_hashes(rows, widths).select("row", "key", "words", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(sentinel, *(f"h{w}" for w in widths))).alias("at", "hash"))
+    start, width = place(F.col("at") - 1, F.col("n_words").cast("int"), widths)
+    met = scanned.join(F.broadcast(known) if few else known, F.col("hash") == F.col("known"), "left")
+    placed = met.select("row", "key", "words", "n_words", "known", "known_width", "run", "items", start.alias("start"), width.alias("width"))
+    same = F.col("known").isNotNull() & (F.col("width") == F.col("known_width")) & (F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.col("width"), F.lit(0))) == F.col("run"))
+    found = placed.where((F.col("start") < 0) | same).select("row", "key", "n_words", F.when(F.col("start") >= 0, F.struct("start", "width")).alias("span"), "items")
     grouped = found.groupBy("row", "key", "n_words").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return grouped.select(F.col("key").alias(key), "n_words", covered(F.col("spans")).alias("n_hit"), "items", "spans")
 
 
+def place(at: Column, n_words: Column, widths: list[int]) -> tuple[Column, Column]:
+    """(start, width) of entry `at` of the arrays of all widths one after the other; -1 before the first."""
+    start, width, before = F.lit(-1), F.lit(0), F.lit(0)
+    for w in widths:
+        start, width = F.when(at >= before, at - before).otherwise(start), F.when(at >= before, F.lit(w)).otherwise(width)
+        before = before + F.greatest(n_words - w + 1, F.lit(0))
+    return start, width
+
+
 def covered(spans: Column) -> Column:
     """Number of places inside any of some sorted (start, width) spans."""
     first = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
