@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .language_id import op9_language_id
+from .minhash import OP6_SQL, op6_minhash
 from .token_counts import op10_token_counts
 from .url_filter import op1_url_filter
 
@@ -18,10 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op3_decontaminate": op3_decontaminate,
         "op5_bpe": op5_bpe,
+        "op6_minhash": op6_minhash,
         "op9_language_id": op9_language_id,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op6_minhash": OP6_SQL}
