@@ -10,6 +10,8 @@ from .bpe import op5_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .language_id import op9_language_id
 from .minhash import OP6_SQL, op6_minhash
+from .substring_dedup import OP7_SQL, op7_substring_dedup
+from .suffix_dedup import OP4_SQL, op4_suffix_dedup
 from .token_counts import op10_token_counts
 from .url_filter import op1_url_filter
 
@@ -18,12 +20,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op3_decontaminate": op3_decontaminate,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_bpe": op5_bpe,
         "op6_minhash": op6_minhash,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_language_id": op9_language_id,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op6_minhash": OP6_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op7_substring_dedup": OP7_SQL}
