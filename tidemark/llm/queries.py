@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .language_id import op9_language_id
+from .lm import op8_lm_score
 from .minhash import OP6_SQL, op6_minhash
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .suffix_dedup import OP4_SQL, op4_suffix_dedup
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe": op5_bpe,
         "op6_minhash": op6_minhash,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_lm_score": op8_lm_score,
         "op9_language_id": op9_language_id,
         "op10_token_counts": op10_token_counts,
     }
