@@ -143,47 +143,75 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(buckets: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs (a, b) of different components in a bucket (bucket, id, component, bits, n), by the estimate.
+    """(b, block, found): for each row b of a bucket (bucket, id, component, size, block, bands, bits, n) the rows of other
+    components, by block, that pass the estimate; a pair is asked for by its row of the smaller component, and only in the
+    first band that it shares.
 
-    A bucket's rows are dealt into blocks of about BLOCK rows; a task compares two blocks with array operations and keeps
-    what passes the estimate. Where more than eight pairs a row pass, it keeps the best for each row and other component,
-    and `more` says so.
+    A bucket's rows are dealt into blocks of about BLOCK rows; a task compares two of them with array operations.
     """
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), count).cast("int")
     dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "bits")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "size", "block", "bands", "bits")
     chance = 2.0**-BITS
     most = int((1 - (chance + least * (1 - chance))) * BANDS * ROWS)
 
     def run(rows: pa.Table) -> pa.Table:
-        group, n = rows.column("id").to_numpy(), rows.num_rows
-        part, own = rows.column("component").to_numpy(), rows.column("own").to_numpy()
-        bits = rows.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        lists = lambda c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        ids, part, size, block, own = (rows.column(c).to_numpy() for c in ("id", "component", "size", "block", "own"))
+        bits, bands = lists("bits").view(np.uint64), lists("bands")
+        bucket, i, j = (rows.column(c)[0].as_py() for c in ("bucket", "i", "j"))
         first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        d = [np.zeros(0, np.int64)]
+        asks, asked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for p in first:
             rest = second[(part[second] != part[p]) & ((second > p) if i == j else True)]
             x = bits[rest] ^ bits[p]
-            unequal = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(EVEN)).sum(axis=1, dtype=np.int64)
-            near = rest[unequal <= most]
-            a.append(np.full(len(near), p))
-            b.append(near)
-            d.append(unequal[unequal <= most])
-        a, b, d = np.concatenate(a), np.concatenate(b), np.concatenate(d)
-        more = len(a) > 8 * n
-        if more:
-            order = np.argsort(d, kind="stable")
-            a, b = a[order], b[order]
-            keep = np.zeros(len(a), bool)
-            for s, t in ((a, b), (b, a)):
-                keep[np.unique(np.stack([s, part[t]]), axis=1, return_index=True)[1]] = True
-            a, b = a[keep], b[keep]
-        return pa.table({"a": np.minimum(group[a], group[b]), "b": np.maximum(group[a], group[b]), "more": np.full(len(a), more)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+            rest = rest[np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(EVEN)).sum(axis=1, dtype=np.int64) <= most]
+            if not len(rest):
+                continue
+            same = bands[rest] == bands[p]
+            rest = rest[bands[p][same.argmax(axis=1)] == bucket]
+            mine = (size[p] < size[rest]) | ((size[p] == size[rest]) & (ids[p] > ids[rest]))
+            asks.append(np.where(mine, p, rest))
+            asked.append(np.where(mine, rest, p))
+        asks, asked = np.concatenate(asks), np.concatenate(asked)
+        order = np.lexsort((block[asked], ids[asks]))
+        asks, asked = asks[order], asked[order]
+        new = np.append(True, (ids[asks][1:] != ids[asks][:-1]) | (block[asked][1:] != block[asked][:-1])) if len(asks) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        found = pa.ListArray.from_arrays(pa.array(np.append(begin, len(asks)).astype(np.int32)), pa.array(ids[asked]))
+        return pa.table({"b": ids[asks][begin], "block": block[asked][begin], "found": found})
+
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "b long, block long, found array<long>")
+
+
+def linked_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) among what was asked for, (b, block, found): one for each row b, block and component. members
+    is (id, component, block); a block has some BLOCK rows of one component, and each of its tasks holds their sets and
+    meets one asking set after the other, so that candidate pairs are never rows."""
+    wanted = asked.groupBy("b", "block").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")).join(sets.select(F.col("id").alias("b"), "set"), "b")
+    there = members.join(asked.select("block").distinct(), "block", "left_semi").join(sets, "id").select("block", "id", F.col("set").alias("own"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = right.column("id").to_numpy()
+        sizes = np.array([len(x.as_buffer()) // 8 for x in right.column("own")], np.int64)
+        every = np.frombuffer(b"".join(x.as_py() for x in right.column("own")), np.uint64)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        a, b = [], []
+        for who, x, found in zip(left.column("b").to_pylist(), left.column("set"), left.column("found"), strict=True):
+            x = np.frombuffer(x.as_buffer(), np.uint64)
+            if not len(x) or not len(every):
+                continue
+            hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+            both = np.bincount(owner[hit], minlength=len(ids))
+            good = ids[100 * both >= percent * (sizes + len(x) - both)]
+            good = good[np.isin(good, found.values.to_numpy())]
+            if len(good):
+                a.append(min(who, int(good[0])))
+                b.append(max(who, int(good[0])))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return wanted.groupBy("block").cogroup(there.groupBy("block")).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -198,9 +226,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Documents with the same set form a class, found by an aggregation; classes that share a band key are candidates. Each
     bucket first links its members to its smallest one, which a group of copies passes in full, so its size adds rows in
     proportion. Only buckets whose members then lie in different components are searched for pairs between those, in
-    blocks, until nothing is left untested. No cap on buckets or partners.
+    blocks; sets travel to blocks and not to pairs. No cap on buckets or partners.
     """
-    spark = docs.sparkSession
     marked = checkpointed(signatures(docs, key, text, size))
     real = marked.where("id is not null and n > 0")
     classes = checkpointed(real.groupBy("x", "y", "n").agg(F.min_by(F.struct("id", "bands", "bits"), "id").alias("r")).select("x", "y", "n", "r.id", "r.bands", "r.bits"))
@@ -218,27 +245,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = checkpointed(set_table(some.join(asked, some["_id"] == asked["id"], "left_semi"), "_id", "_text", size).dropDuplicates(["id"]))
     links = checkpointed(confirmed(pairs, sets, percent))
     found = checkpointed(components(links))
-    tested = None
-    while True:
-        part = found.withColumnRenamed("component", "c")
-        members = buckets.join(part, "id", "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("component"))
-        split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        open_ = members.join(split, "bucket", "left_semi").join(bits, "id")
-        more = across(open_, least)
-        if tested is not None:
-            more = more.join(tested, ["a", "b"], "left_anti")
-        more = checkpointed(more)
-        rest = more.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
-        if not rest["n"]:
-            break
-        new = checkpointed(confirmed(more.select("a", "b"), sets, percent))
-        tested = more.select("a", "b") if tested is None else tested.unionByName(more.select("a", "b"))
-        if new.isEmpty() and not rest["more"]:
-            break
-        links = links.unionByName(new)
-        found = checkpointed(components(links))
-        if not rest["more"]:
-            break
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    placed = buckets.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")).join(sizes, "component", "left")
+    members = checkpointed(placed.select("id", "component", F.coalesce("size", F.lit(1)).alias("size")).select("id", "component", "size", F.xxhash64("component", part).alias("block")))
+    together = buckets.select("bucket", "id", "n").join(members, "id")
+    split = together.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    open_ = together.join(split, "bucket", "left_semi").join(classes.select("id", "bands", "bits"), "id")
+    asked = checkpointed(across(open_, least))
+    links = links.unionByName(linked_blocks(asked, members, sets, percent))
+    found = checkpointed(components(links))
     of_set = classes.select("x", "y", "n", F.col("id").alias("class"))
     placed = marked.join(of_set, ["x", "y", "n"], "left").join(found.select(F.col("id").alias("class"), "component"), "class", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "class")).otherwise(F.col("id"))
