@@ -18,6 +18,11 @@ JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestamp
 LINEAGE = ("_row_id", "_snapshot_id", "_file", "_pos")
 
 
+def file_name() -> SparkColumn:
+    """A file's name in the lake: its last two path steps, since the files of one write to several partitions share the last."""
+    return F.substring_index(F.col("_metadata.file_path"), "/", -2)
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """Rows from the driver as a plan without Python: one JSON literal that the JVM parses."""
     text = json.dumps(rows)
@@ -81,7 +86,7 @@ def read_files(spark: SparkSession, root: str, table: Table, files: list[File],
             df = spark.read.schema(", ".join(stored)).parquet(*paths)
         else:
             df = spark.read.parquet(*paths)
-        extra = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_pos")] if placed else []
+        extra = [file_name().alias("_file"), F.col("_metadata.row_index").alias("_pos")] if placed else []
         df = df.select(*(F.col(f"`{names.get(i, f'c{i}')}`").alias(f"c{i}") for i in types), *(["_row_id", "_snapshot_id"] if one.lineage else []), *extra)
         if one.name in hit:
             gone = delete_rows(spark, root, deletes, {f.name for f in group})

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from urllib.parse import unquote
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.transforms import marked, transform, unmarked
 from ..state import LakeError, Table
 from ..store import Store
-from .scan import JSON_OPTIONS
+from .scan import JSON_OPTIONS, file_name
 
 #: A row with more text than this, twice its bytes as the log's size, or a batch with more than the second, goes to files.
 ROW_BYTES, BATCH_BYTES = 90 << 10, 3_500_000
@@ -67,19 +66,21 @@ def leaves(name: SparkColumn, kind: T.DataType, path: str) -> list[tuple[str, Sp
     return [(path, F.lit(None).cast("string"), F.lit(None).cast("string"), name.isNull())]
 
 
-def file_stats(spark: SparkSession, folder: str, schema: T.StructType, columns: dict[str, str]) -> dict[str, dict]:
-    """{file name: (rows, {path: {nulls, min, max, nan}})} by one aggregation over what was written. columns: id by name."""
-    df = spark.read.schema(schema).parquet(folder)
+def file_stats(spark: SparkSession, folder: str, schema: T.StructType, columns: dict[str, str], parts: dict[str, SparkColumn] | None = None) -> dict[str, tuple]:
+    """{file name: (rows, {path: {nulls, min, max, nan}}, partition values)} by one aggregation over what was written.
+    columns: id by name; parts: partition values by their keys, one for a file."""
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
     found = [(p, *rest, isinstance(f.dataType, T.FloatType | T.DoubleType)) for f in schema.fields if f.name in columns for p, *rest in leaves(F.col(f"`{f.name}`"), f.dataType, columns[f.name])]
-    exprs = [F.count("*").alias("n")]
+    exprs = [F.count("*").alias("n"), *(F.max(marked(v)).alias(f"p{i}") for i, v in enumerate((parts or {}).values()))]
     for i, (_, low, high, null, real) in enumerate(found):
         value = F.when(F.isnan(low), None).otherwise(low) if real else low
         above = F.when(F.isnan(high), None).otherwise(high) if real else high
         exprs += [F.min(value).cast("string").alias(f"l{i}"), F.max(above).cast("string").alias(f"h{i}"), F.count_if(null).alias(f"z{i}")]
         exprs.append(F.coalesce(F.bool_or(F.isnan(low)), F.lit(False)).alias(f"a{i}") if real else F.lit(False).alias(f"a{i}"))
     out = {}
-    for r in df.groupBy(F.col("_metadata.file_name").alias("f")).agg(*exprs).collect():
-        out[unquote(r["f"])] = (r["n"], {p: {"nulls": r[f"z{i}"], "min": r[f"l{i}"], "max": r[f"h{i}"], **({"nan": True} if r[f"a{i}"] else {})} for i, (p, *_) in enumerate(found)})
+    for r in df.groupBy(file_name().alias("f")).agg(*exprs).collect():
+        stats = {p: {"nulls": r[f"z{i}"], "min": r[f"l{i}"], "max": r[f"h{i}"], **({"nan": True} if r[f"a{i}"] else {})} for i, (p, *_) in enumerate(found)}
+        out[r["f"]] = (r["n"], stats, {k: unmarked(r[f"p{i}"]) for i, k in enumerate(parts or {})})
     return out
 
 
@@ -92,33 +93,31 @@ def stage(spark: SparkSession, store: Store, table: Table, df: DataFrame, lineag
     parts = {}
     for column, name, argument in table.partition:
         if str(column) in names:
-            parts[f"p{len(parts)}"] = (f"{column}:{name}" + (f":{argument}" if argument else ""), transform(F.col(f"c{column}"), name, argument))
-    kept = df.columns
+            parts[f"{column}:{name}" + (f":{argument}" if argument else "")] = transform(F.col(f"c{column}"), name, argument)
+    schema, part = df.schema, ["part"] if parts else []
     if parts:
-        df = df.withColumns({p: marked(v) for p, (_, v) in parts.items()}).hint("rebalance", *parts)
+        df = df.withColumn("part", F.md5(F.concat_ws("/", *(F.md5(marked(v)) for v in parts.values())))).hint("rebalance", "part")
     order = [_order(table, *s) for s in table.sort]
     if order:
         df = df if parts else df.hint("rebalance")
-        df = df.sortWithinPartitions(*parts, *order, *(["_row_id"] if lineage else []))
+        df = df.sortWithinPartitions(*part, *order, *(["_row_id"] if lineage else []))
     folder = f"data/{table.id}/{uuid.uuid4().hex}"
     writer = df.write
-    (writer.partitionBy(*parts) if parts else writer).parquet(f"{store.root}/{folder}")
-    schema = T.StructType([f for f in df.schema.fields if f.name in kept])
+    (writer.partitionBy(*part) if parts else writer).parquet(f"{store.root}/{folder}")
     files = store.files(folder)
     if not files:
         return []
-    stats = file_stats(spark, f"{store.root}/{folder}", schema, {f"c{c.id}": str(c.id) for c in table.columns})
+    stats = file_stats(spark, f"{store.root}/{folder}", schema, {f"c{c.id}": str(c.id) for c in table.columns}, parts)
     out = []
     for path, size in files:
-        name = path.rsplit("/", 1)[-1]
+        name = "/".join(path.split("/")[-2:])
         if name not in stats:
             store.delete(path)
             continue
-        held = {p: unmarked(unquote(v)) for p, v in re.findall(r"/(p\d+)=([^/]*)", path)}
-        rows, found = stats[name]
+        rows, found, held = stats[name]
         out.append({
             "name": name, "path": path, "table": table.id, "rows": rows, "bytes": size, "types": types_of(table), "lineage": lineage, "origin": origin,
-            "partition": {parts[p][0]: v for p, v in held.items()} if parts else None, "partition_version": table.partition_version if parts else None, "stats": found, "sources": list(sources),
+            "partition": held if parts else None, "partition_version": table.partition_version if parts else None, "stats": found, "sources": list(sources),
         })
     return out
 
