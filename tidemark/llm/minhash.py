@@ -143,34 +143,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(buckets: DataFrame, least: float) -> DataFrame:
-    """(b, block, found): for each row b of a bucket (bucket, id, component, size, block, bands, bits, n) the rows of other
-    components, by block, that pass the estimate; a pair is asked for by its row of the smaller component, and only in the
-    first band that it shares.
+    """(b, block, found): for each row b of a bucket (bucket, id, component, size, block, tags, bits, n, major) the rows of
+    other components, by block, that pass the estimate; a pair is asked for by its row of the smaller component, and only in
+    the first band that it shares, which the high halves of its band keys tell.
 
-    A bucket's rows are dealt into blocks of about BLOCK rows; a task compares two of them with array operations.
+    A bucket's rows are dealt into parts of about BLOCK rows; those outside its major component go to all parts, and a task
+    compares them with its part's rows by array operations.
     """
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), count).cast("int")
-    dealt = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "size", "block", "bands", "bits")
+    minor = F.col("component") != F.col("major")
+    dealt = buckets.withColumns({"own": own, "minor": minor}).withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), count - 1)).otherwise(F.array("own"))))
+    dealt = dealt.select("bucket", "part", "own", "minor", "id", "component", "size", "block", "tags", "bits")
     chance = 2.0**-BITS
     most = int((1 - (chance + least * (1 - chance))) * BANDS * ROWS)
 
     def run(rows: pa.Table) -> pa.Table:
         lists = lambda c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-        ids, part, size, block, own = (rows.column(c).to_numpy() for c in ("id", "component", "size", "block", "own"))
-        bits, bands = lists("bits").view(np.uint64), lists("bands")
-        bucket, i, j = (rows.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-        first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        ids, comp, size, block, own = (rows.column(c).to_numpy() for c in ("id", "component", "size", "block", "own"))
+        bits, tags, minor = lists("bits").view(np.uint64), lists("tags"), rows.column("minor").to_numpy()
+        tag = rows.column("bucket")[0].as_py() >> 32
+        home = np.flatnonzero(own == rows.column("part")[0].as_py())
         asks, asked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for p in first:
-            rest = second[(part[second] != part[p]) & ((second > p) if i == j else True)]
+        for p in np.flatnonzero(minor):
+            rest = home[(comp[home] != comp[p]) & (~minor[home] | (ids[home] > ids[p]))]
             x = bits[rest] ^ bits[p]
             rest = rest[np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(EVEN)).sum(axis=1, dtype=np.int64) <= most]
             if not len(rest):
                 continue
-            same = bands[rest] == bands[p]
-            rest = rest[bands[p][same.argmax(axis=1)] == bucket]
+            same = tags[rest] == tags[p]
+            rest = rest[tags[p][same.argmax(axis=1)] == tag]
             mine = (size[p] < size[rest]) | ((size[p] == size[rest]) & (ids[p] > ids[rest]))
             asks.append(np.where(mine, p, rest))
             asked.append(np.where(mine, rest, p))
@@ -182,7 +184,7 @@ def across(buckets: DataFrame, least: float) -> DataFrame:
         found = pa.ListArray.from_arrays(pa.array(np.append(begin, len(asks)).astype(np.int32)), pa.array(ids[asked]))
         return pa.table({"b": ids[asks][begin], "block": block[asked][begin], "found": found})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "b long, block long, found array<long>")
+    return dealt.groupBy("bucket", "part").applyInArrow(run, "b long, block long, found array<long>")
 
 
 def linked_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,8 +252,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     placed = buckets.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")).join(sizes, "component", "left")
     members = checkpointed(placed.select("id", "component", F.coalesce("size", F.lit(1)).alias("size")).select("id", "component", "size", F.xxhash64("component", part).alias("block")))
     together = buckets.select("bucket", "id", "n").join(members, "id")
-    split = together.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_ = together.join(split, "bucket", "left_semi").join(classes.select("id", "bands", "bits"), "id")
+    split = together.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("size", "component")).alias("major")).where("low <> high").select("bucket", "major")
+    tags = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("tags")
+    open_ = together.join(split, "bucket").join(classes.select("id", tags, "bits"), "id")
     asked = checkpointed(across(open_, least))
     links = links.unionByName(linked_blocks(asked, members, sets, percent))
     found = checkpointed(components(links))
