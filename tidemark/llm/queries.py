@@ -10,6 +10,7 @@ from .bpe import op5_bpe
 from .decontaminate import OP3_SQL, op3_decontaminate
 from .language_id import op9_language_id
 from .lm import op8_lm_score
+from .media import op2_media_copies
 from .minhash import OP6_SQL, op6_minhash
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .suffix_dedup import OP4_SQL, op4_suffix_dedup
@@ -20,6 +21,7 @@ from .url_filter import op1_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_media_copies": op2_media_copies,
         "op3_decontaminate": op3_decontaminate,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_bpe": op5_bpe,
