@@ -78,10 +78,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, key: str =
     sentinel = F.array(F.lit(None).cast("bigint"))
     scanned = run_hashes(rows, widths).select("row", "key", "words", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(sentinel, *(f"h{w}" for w in widths))).alias("at", "hash"))
     start, width = place(F.col("at") - 1, F.col("n_words").cast("int"), widths)
+    scanned = scanned.withColumns({"start": start, "width": width})
+    own = F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("width"))
+    if not few:  # rows that are shuffled take their window along instead of all the words
+        scanned = scanned.select("row", "key", "n_words", "start", "width", "hash", own.alias("own"))
+        own = F.col("own")
     met = scanned.join(F.broadcast(known) if few else known, F.col("hash") == F.col("known"), "left")
-    placed = met.select("row", "key", "words", "n_words", "known", "known_width", "run", "items", start.alias("start"), width.alias("width"))
-    same = F.col("known").isNotNull() & (F.col("width") == F.col("known_width")) & (F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.col("width"), F.lit(0))) == F.col("run"))
-    found = placed.where((F.col("start") < 0) | same).select("row", "key", "n_words", F.when(F.col("start") >= 0, F.struct("start", "width")).alias("span"), "items")
+    same = F.col("known").isNotNull() & (F.col("width") == F.col("known_width")) & (own == F.col("run"))
+    found = met.where((F.col("start") < 0) | same).select("row", "key", "n_words", F.when(F.col("start") >= 0, F.struct("start", "width")).alias("span"), "items")
     grouped = found.groupBy("row", "key", "n_words").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return grouped.select(F.col("key").alias(key), "n_words", covered(F.col("spans")).alias("n_hit"), "items", "spans")
 

@@ -418,7 +418,7 @@ def repeated(docs: DataFrame, key: str, text: str, carry: list[str], setting: Se
         asked = np.stack([where, place, count, prints(chunk, begin, count).view(np.int64)], axis=1) if len(begin) else np.zeros((0, 4), np.int64)
         asked, which = np.unique(asked, axis=0, return_inverse=True)
         edges = np.flatnonzero(np.append(True, np.diff(asked[:, 0]) != 0)) if len(asked) else np.zeros(0, np.int64)
-        for a, b in zip(edges, np.append(edges[1:], len(asked)), strict=True):
+        for a, b in zip(edges, np.append(edges, len(asked))[1:], strict=True):
             mail.rows.append((own, int(asked[a, 0]), "ask", np.ascontiguousarray(asked[a:b, 1:]).tobytes()))
         state = (begin, count, which.ravel(), len(asked), asked[edges, 0], edges)
         mail.rows.append((own, own, STATE, pickle.dumps(state)))
@@ -447,7 +447,7 @@ def repeated(docs: DataFrame, key: str, text: str, carry: list[str], setting: Se
             return finish(chunk, settled(chunk, number(table), got)[0])
         data, (begin, count, which, n, sources, edges) = received(got)
         holds = np.zeros(n, bool)
-        for s, a, b in zip(sources.tolist(), edges, np.append(edges[1:], n), strict=True):
+        for s, a, b in zip(sources.tolist(), edges, np.append(edges, n)[1:], strict=True):
             holds[a:b] = np.frombuffer(data[s], np.uint8) > 0
         good = holds[which]
         return finish(chunk, np.sort(spread(begin[good], count[good])))
