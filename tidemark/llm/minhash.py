@@ -96,15 +96,33 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, x long, y long, bands array<long>, bits array<long>")
 
 
-def set_table(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, set): the sorted 64-bit hashes of a document's distinct shingles."""
+def id_filter(ids: DataFrame, most: int = 1 << 26) -> tuple[int, np.ndarray]:
+    """(m, bits): a bitmap of the ids modulo m, sixteen bits for each id but `most` bits (8 MB) in all. An id whose bit is
+    not set is not there; with more ids more others pass."""
+    m = min(most, 16 * ids.count()) + 1
+    at = F.pmod("id", F.lit(m)) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bits = np.zeros((m // 32768 + 1) * 32768, bool)
+    for r in rows:
+        start = (r["bucket"] - 1) * 32768
+        bits[start : start + 32768] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    return m, np.packbits(bits)
+
+
+def set_table(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
+    """(id, set): the sorted 64-bit hashes of the distinct shingles of the documents that have one of the ids wanted, and of
+    some others. A filter of bounded size finds them where they are read, so that texts aren't shuffled."""
+    m, bits = id_filter(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.unpackbits(sent.value)
         for batch in batches:
+            batch = batch.filter(pa.array(there[np.mod(batch.column(0).to_numpy(zero_copy_only=False), m)] > 0))
             for i, sets in shingles(batch.column(1), size):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     return rows.mapInArrow(run, "id long, set binary")
 
 
@@ -243,8 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     both = stars.join(bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b").join(bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a")
     pairs = both.where(estimate >= least).select("a", "b")
     asked = buckets.select("id").distinct()
-    some = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).where("_id is not null")
-    sets = checkpointed(set_table(some.join(asked, some["_id"] == asked["id"], "left_semi"), "_id", "_text", size).dropDuplicates(["id"]))
+    sets = checkpointed(set_table(docs, key, text, size, asked))
     links = checkpointed(confirmed(pairs, sets, percent))
     found = checkpointed(components(links))
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
