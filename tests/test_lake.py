@@ -291,3 +291,25 @@ def test_scans_are_plain_parquet_plans(lake, spark):
     assert "c2" not in text and "PushedFilters: [IsNotNull(c1), GreaterThan(c1,90)]" in text
     lake.delete("t", "id = 95")
     assert "BroadcastHashJoin" in plan()
+
+
+def test_buckets_are_pruned(lake, spark):
+    lake.create_table("t", "id bigint, who string", partition_by=[("bucket", "who", 8)])
+    lake.insert("t", spark.range(400).selectExpr("id", "concat('u', id % 40) AS who"))
+    assert len(lake.files("t")) >= 8
+    files = {f.partition["2:bucket:8"] for f in lake.files("t", where="who = 'u7'")}
+    assert len(files) == 1
+    assert lake.table("t", where="who = 'u7'").count() == 10
+    assert lake.table("t", where="who IN ('u7', 'u9') AND id < 100").count() == 6
+
+
+def test_a_long_log_opens_from_bundles(lake, spark, monkeypatch):
+    for i in range(205):
+        lake.set_option("x", i)
+    other = Lake(spark, lake.store.root)
+    reads = []
+    monkeypatch.setattr(other.store, "read", lambda n, f=other.store.read: reads.append(n) or f(n))
+    other.log.commits, other.log.states = [], other.log.states[:1]
+    assert other.option("x") == 204
+    assert len(reads) < 20
+    assert other.state(50).option("x") == 48

@@ -207,6 +207,7 @@ def over(sql: str, text: str, name: str = "orders", key: str = "o_orderkey"):
 
 
 over("filter_cmp", "SELECT o_orderkey FROM orders WHERE o_custkey >= 100 AND o_custkey < 500 AND o_orderstatus <> 'P' AND 1000 <= o_totalprice")
+over("filter_modulo", "SELECT o_orderkey, o_custkey % 7 AS rest FROM orders WHERE o_custkey % 7 >= 3")
 over("filter_in", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
 over("filter_or", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR (o_custkey > 1000 AND o_orderstatus = 'F')")
 over("filter_like", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%7_'", "customer", "c_custkey")
@@ -220,7 +221,7 @@ over("agg_filter", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS closed
 over("agg_count_sum", "SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s, CAST(coalesce(sum(CASE WHEN o_custkey < 0 THEN o_custkey END), 0) AS BIGINT) AS z FROM orders")
 over("agg_min_max", "SELECT o_orderstatus, min(o_orderkey) AS low, max(o_orderkey) AS high, min(o_orderdate) AS first FROM orders GROUP BY o_orderstatus")
 over("integrity_dupes", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15")
-over("order_by", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 500 ORDER BY o_custkey DESC, o_orderkey")
+over("order_by", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey")
 over("scalar_subquery", "SELECT (SELECT count(*) FROM orders) AS n, (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F') AS top")
 over("union_all_totals", "SELECT 'F' AS part, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'O', count(*) FROM orders WHERE o_orderstatus = 'O'")
 
@@ -232,9 +233,9 @@ def fn_date(spark, sf):
     return rows.select("event_id", later.alias("later"), F.date_add(F.to_date("ts"), 3).alias("day"), F.year("ts").alias("y"), F.month("ts").alias("m"), F.dayofmonth("ts").alias("d"), F.hour("ts").alias("h"))
 
 
-@query("SELECT o_orderstatus, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM orders WHERE o_orderkey < 300 GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_orderstatus")
 def string_agg_ordered(spark, sf):
-    return filled(spark, sf).sql("SELECT o_orderstatus, listagg(CAST(o_orderkey AS STRING), ',') WITHIN GROUP (ORDER BY o_orderkey) AS keys FROM orders WHERE o_orderkey < 300 GROUP BY o_orderstatus")
+    return filled(spark, sf).sql("SELECT o_orderstatus, listagg(CAST(o_orderkey AS STRING), ',') WITHIN GROUP (ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_orderstatus")
 
 
 # --- joins
@@ -254,7 +255,7 @@ def join_filter(spark, sf):
 
 VARIED = """SELECT n_name, count(*) AS n, CAST(sum(l.l_linenumber) AS BIGINT) AS lines
 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_custkey % 2 = o.o_custkey % 2
-JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey <> l.l_linenumber % 5 WHERE o.o_orderkey % 3 = 1 GROUP BY n_name"""
+JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey <> l.l_linenumber % 5 GROUP BY n_name"""
 
 
 @query(VARIED)

@@ -9,7 +9,7 @@ from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.prune import matches, parse
+from ..plans.prune import matches, parse, with_buckets
 from ..state import Column, Deletes, File, InlineRow, LakeError, State, Table
 
 #: A list of files up to this long is broadcast; each entry has a few dozen bytes.
@@ -154,8 +154,8 @@ def visible_files(state: State, head: State, table: Table) -> list[tuple[File, i
 def scan(spark: SparkSession, root: str, state: State, head: State, table: Table, where: str | None = None, lineage: bool = False) -> DataFrame:
     """The table's rows at a state. where prunes files and filters rows; lineage adds `_row_id`, `_snapshot_id` and, for
     rows of files, `_file` and `_pos`."""
-    if where and spark is not None:
-        tree = parse(spark, where)
+    if where:
+        tree = with_buckets(spark, parse(spark, where), table)
     found = visible_files(state, head, table)
     if where:
         found = [(f, n) for f, n in found if matches(tree, f, table)]
