@@ -193,6 +193,78 @@ def meta_debug(spark, sf):
     return lake.debug().groupBy(F.col("version").cast("int").alias("version"), "op").agg(F.count("*").cast("int").alias("n"))
 
 
+@query("SELECT 'global' AS scope, CAST(NULL AS VARCHAR) AS scope_name, 'data_inlining_row_limit' AS \"key\", '0' AS value UNION ALL SELECT 'table', 'region', 'note', 'x'")
+def meta_options(spark, sf):
+    lake = filled(spark, sf, "region", "r_regionkey", 1)
+    lake.set_option("note", "x", table="region")
+    return lake.options()
+
+
+@query("SELECT * FROM (VALUES ('key', 's_suppkey'), ('title', 's_name')) t(\"column\", source)")
+def meta_column_mappings(spark, sf):
+    lake = new_lake(spark)
+    lake.create_table("places", "key BIGINT, title STRING, region STRING")
+    lake.add_files("places", [f"{sf}/supplier.parquet"], mapping={"key": "s_suppkey", "title": "s_name"})
+    return lake.column_mappings("places").select("column", "source")
+
+
+@query("SELECT DISTINCT 'o_orderstatus' AS \"column\", 'identity' AS transform, o_orderstatus AS value FROM orders")
+def meta_partition_values(spark, sf):
+    return parted(spark, sf).partition_values("orders").select("column", "transform", "value").distinct()
+
+
+@query("SELECT o_orderkey % 3 AS batch, count(*) AS n_rows, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY 1")
+def meta_file_stats(spark, sf):
+    stats = filled(spark, sf).file_stats("orders").where("column = 'o_orderkey'")
+    low, high = F.col("min").cast("bigint"), F.col("max").cast("bigint")
+    return stats.groupBy(F.pmod(low, F.lit(3)).alias("batch")).agg(F.sum("rows").alias("n_rows"), F.min(low).alias("low"), F.max(high).alias("high"))
+
+
+@query("SELECT CAST(6 AS BIGINT) AS begin_version, count(*) AS deleted FROM orders WHERE o_custkey % 6 = 0 UNION ALL SELECT 7, count(*) FROM orders WHERE o_custkey % 6 = 1")
+def meta_delete_lists(spark, sf):
+    lake = filled(spark, sf)
+    lake.delete("orders", "o_custkey % 6 = 0")
+    lake.delete("orders", "o_custkey % 6 = 1")
+    return lake.delete_lists("orders").groupBy(F.col("begin").alias("begin_version")).agg(F.sum("deleted").alias("deleted"))
+
+
+@query("SELECT n_nationkey, false AS in_log FROM nation WHERE n_nationkey NOT IN (3, 7)")
+def flush_deletes(spark, sf):
+    lake = filled(spark, sf, "nation", "n_nationkey", 2)
+    for k in (3, 7):
+        lake.delete("nation", f"n_nationkey = {k}")
+    lake.flush_deletes("nation")
+    return lake.table("nation").select("n_nationkey", F.lit(bool(lake.delete_lists("nation").where("in_log").head(1))).alias("in_log"))
+
+
+@query("SELECT CAST(5 AS BIGINT) AS \"end\", 'merge' AS why, CAST(2 AS BIGINT) AS n UNION ALL SELECT 7, 'delete', 1")
+def removed_files_after(spark, sf):
+    lake = filled(spark, sf, "region", "r_regionkey", 2)
+    lake.merge_adjacent("region")
+    lake.insert("region", read(spark, sf, "region").withColumn("r_regionkey", F.lit(99)).coalesce(1))
+    lake.delete("region", "r_regionkey = 99")
+    return lake.removed_files_after("region", 4).groupBy("end", "why").agg(F.when(F.col("why") == "merge", 2).otherwise(1).cast("bigint").alias("n"))
+
+
+@query("SELECT * FROM (VALUES (0, 2, true), (1, 4, true), (2, 5, false)) t(schema_version, begin_version, created_with_table)")
+def schema_versions(spark, sf):
+    lake = filled(spark, sf, "region", "r_regionkey", 1)
+    lake.rename_column("region", "r_name", "name")
+    lake.add_column("region", "note", "string")
+    last = {0: "r_regionkey", 1: "name", 2: "note"}
+    rows = [{"s": v, "b": lake.schema_begin("region", v), "c": lake.created_with_table("region", c)} for v, c in last.items()]
+    return literal_rows(spark, rows, "s int, b int, c boolean").toDF("schema_version", "begin_version", "created_with_table")
+
+
+@query("SELECT r_regionkey, r_name, true AS there FROM region")
+def copy_lake(spark, sf):
+    lake = filled(spark, sf, "region", "r_regionkey", 2)
+    if lake.store.local is None:
+        return lake.table("region").withColumn("there", F.lit(True))
+    other = lake.copy_to(lake.store.local + "-copy")
+    return other.table("region").withColumn("there", F.lit(Lake.exists(spark, other.store.root)))
+
+
 # --- projections, filters and functions
 
 
