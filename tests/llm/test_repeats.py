@@ -66,13 +66,28 @@ def found(df, column):
     return {k: sorted(v, key=repr) for k, v in out.items()}
 
 
-@pytest.fixture(params=[4 << 20, 700])
+@pytest.fixture(params=[(4 << 20, 1024), (700, 1024), (700, 3)])
 def chunks(request, monkeypatch):
-    """One chunk for all, and many small ones."""
-    monkeypatch.setattr(repeats, "CHUNK_BYTES", request.param)
+    """One chunk for all, many small ones, and more of them than quantiles of the key."""
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", request.param[0])
+    monkeypatch.setattr(repeats, "MOST_KNOTS", request.param[1])
     return request.param
 
 
+def test_chunks_are_ranges_of_the_key(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 100)
+    monkeypatch.setattr(repeats, "MOST_KNOTS", 4)
+    rows = [(i * i * 10**12, "x" * 40) for i in range(100)] + [(None, "y"), (5, None), (5, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["key"], r["chunk"]) for r in repeats.in_chunks(df, "doc_id", "text", [])[0].collect()]
+    real = sorted((k, c) for k, c in got if k is not None)
+    assert [c for _, c in real] == sorted(c for _, c in real)
+    assert 15 < len({c for _, c in real})
+    assert all(c > real[-1][1] for k, c in got if k is None)
+    most = max(sum(c == x for _, c in real) for x in {c for _, c in real})
+    assert most < 30
+
+
 def repeated_rows():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(40)]

@@ -267,20 +267,22 @@ def in_chunks(docs: DataFrame, key: str, text: str, carry: list[str]) -> tuple[D
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = max(-(-total // CHUNK_BYTES), partitions(spark))
     count = min(wanted, MOST_KNOTS)
-    knots = rows.where("key is not null").stat.approxQuantile("key", [i / count for i in range(1, count)], 1 / (4 * count)) if count > 1 else []
-    splits = [float("-inf"), *sorted(set(knots)), float("inf")]
+    found = rows.where("key is not null").stat.approxQuantile("key", [i / count for i in range(count + 1)], 1 / (4 * count)) if count > 1 else []
+    knots = sorted({k for k in found[1:-1] if k > found[0]})
+    splits = [float("-inf"), *knots, float("inf")]
     real = F.col("key").cast("double")
-    if len(splits) > 2:
+    if knots:
         placed = Bucketizer(splits=splits, inputCol="_real", outputCol="_chunk", handleInvalid="keep").transform(rows.withColumn("_real", real))
     else:
         placed = rows.withColumn("_chunk", F.lit(0.0))
     chunk = F.col("_chunk").cast("long")
     within = -(-wanted // count)
-    if within > 1 and len(splits) > 3:
-        inner = [splits[1], *splits[1:-1], splits[-2]]
-        low_, high = F.element_at(F.array(*map(F.lit, [inner[0], *inner[1:-1], inner[-1]])), chunk.cast("int") + 1), F.element_at(F.array(*map(F.lit, [*inner[1:], inner[-1]])), chunk.cast("int") + 1)
-        share = F.when(high > low_, F.least(F.lit(within - 1), F.greatest(F.lit(0), F.floor((real - low_) / (high - low_) * within)))).otherwise(0)
-        chunk = chunk * within + share
+    if within > 1 and knots:
+        at = chunk.cast("int") + 1
+        low_ = F.element_at(F.array(*map(F.lit, [found[0], *knots])), at)
+        high = F.element_at(F.array(*map(F.lit, [*knots, found[-1]])), at)
+        share = F.floor((real - low_) / F.greatest(high - low_, F.lit(1.0)) * within)
+        chunk = chunk * within + F.least(F.lit(within - 1), F.greatest(F.lit(0), share))
     nulls = F.lit(within * len(splits)) + F.pmod(F.xxhash64("text"), F.lit(partitions(spark)))
     chunk = F.when(F.col("key").isNull(), nulls).otherwise(chunk).cast("long")
     return placed.select(chunk.alias("chunk"), "key", "text", *(f"c_{c}" for c in carry)), max(partitions(spark), -(-total // (64 << 20)))
