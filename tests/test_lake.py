@@ -120,11 +120,18 @@ def test_schema_evolution(lake, spark):
 
 
 def test_nested_fields(lake, spark):
+    """Older rows keep each field's value by its name; an absent struct stays absent."""
     lake.create_table("t", "id int, s struct<a:int,b:int>")
-    lake.insert("t", spark.sql("SELECT 1 AS id, named_struct('a', 1, 'b', 2) AS s"))
+    lake.insert("t", spark.sql("SELECT 1 AS id, named_struct('a', 1, 'b', 2) AS s UNION ALL SELECT 2, null"))
+    lake.set_option("data_inlining_row_limit", 5)
+    lake.insert("t", spark.sql("SELECT 3 AS id, named_struct('a', 5, 'b', 6) AS s"))
+    version = lake.version()
     lake.add_column("t", "s.c", "string")
     lake.drop_column("t", "s.a")
+    lake.insert("t", spark.sql("SELECT 4 AS id, named_struct('b', 7, 'c', 'x') AS s"))
     assert lake.state().table("t").column("s").type == "struct<b:int,c:string>"
+    assert held(lake.table("t").select("id", "s.b", "s.c", F.col("s").isNull())) == [(1, 2, None, False), (2, None, None, True), (3, 6, None, False), (4, 7, "x", False)]
+    assert held(lake.table("t", version=version).select("id", "s.a", "s.b").where("id <> 2")) == [(1, 1, 2), (3, 5, 6)]
 
 
 def test_partition_nulls_and_empty_text(lake, spark):

@@ -8,6 +8,7 @@ from collections import defaultdict
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.prune import matches, parse, with_buckets
 from ..state import Column, Deletes, File, InlineRow, LakeError, State, Table
@@ -33,6 +34,21 @@ def initial(column: Column) -> SparkColumn:
     return (F.lit(None) if column.initial is None else F.expr(column.initial)).cast(column.type)
 
 
+def reshaped(value: SparkColumn, old: T.DataType, new: T.DataType) -> SparkColumn:
+    """A value of an older type as the newer one: structs by their fields' names, missing fields null; all else by cast."""
+    if old == new:
+        return value
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        have = {f.name: f.dataType for f in old.fields}
+        fields = [(reshaped(value[f.name], have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in new.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        return F.transform(value, lambda x: reshaped(x, old.elementType, new.elementType))
+    if isinstance(old, T.MapType) and isinstance(new, T.MapType):
+        return F.transform_values(value, lambda k, x: reshaped(x, old.valueType, new.valueType)).cast(new)
+    return value.cast(new)
+
+
 def projected(columns: tuple[Column, ...], types: dict[str, str], constants: dict[str, str | None] | None = None) -> list[SparkColumn]:
     """The table's columns from what a file or inlined row has; old types are cast, missing columns get what they began with."""
     out = []
@@ -40,7 +56,8 @@ def projected(columns: tuple[Column, ...], types: dict[str, str], constants: dic
         if constants and str(c.id) in constants:
             value = F.lit(constants[str(c.id)]).cast(c.type)
         elif str(c.id) in types:
-            value = F.col(f"c{c.id}") if types[str(c.id)] == c.type else F.col(f"c{c.id}").cast(c.type)
+            old, new = T._parse_datatype_string(types[str(c.id)]), T._parse_datatype_string(c.type)
+            value = F.col(f"c{c.id}") if types[str(c.id)] == c.type else reshaped(F.col(f"c{c.id}"), old, new)
         else:
             value = initial(c)
         out.append(value.alias(c.name))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.transforms import marked, transform, unmarked
 from ..state import LakeError, Table
 from ..store import Store
-from .scan import JSON_OPTIONS, file_name
+from .scan import JSON_OPTIONS, file_name, reshaped
 
 #: A row with more text than this, twice its bytes as the log's size, or a batch with more than the second, goes to files.
 ROW_BYTES, BATCH_BYTES = 90 << 10, 3_500_000
@@ -21,7 +21,7 @@ ORDERED = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.Timestamp
 
 
 def physical(table: Table, df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """df's columns by name as the table's types, called c<id>. Missing columns get their defaults; null in a column that
+    """df's columns, and their structs' fields, by name as the table's types, called c<id>. Missing columns get their defaults; null in a column that
     must not be null fails the job that reads it."""
     have = {c.lower(): c for c in df.columns}
     unknown = set(have) - {c.name.lower() for c in table.columns} - set(extra)
@@ -30,7 +30,8 @@ def physical(table: Table, df: DataFrame, extra: tuple[str, ...] = ()) -> DataFr
     out = []
     for c in table.columns:
         if c.name.lower() in have:
-            value = F.col(f"`{have[c.name.lower()]}`").cast(c.type)
+            own = have[c.name.lower()]
+            value = reshaped(F.col(f"`{own}`"), df.schema[own].dataType, T._parse_datatype_string(c.type))
         else:
             value = (F.lit(None) if c.default is None else F.expr(c.default)).cast(c.type)
         if not c.nullable:
