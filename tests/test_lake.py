@@ -320,3 +320,27 @@ def test_a_long_log_opens_from_bundles(lake, spark, monkeypatch):
     assert other.option("x") == 204
     assert len(reads) < 20
     assert other.state(50).option("x") == 48
+
+
+def test_other_file_systems(spark, tmp_path, monkeypatch):
+    """The same through Spark's file systems, as on a cluster."""
+    from tidemark.store import Store
+
+    plain = Store.__init__
+    monkeypatch.setattr(Store, "__init__", lambda self, s, root: (plain(self, s, root), setattr(self, "local", None))[0])
+    lake = Lake(spark, f"file://{tmp_path}/far")
+    lake.set_option("data_inlining_row_limit", 0)
+    lake.create_table("t", "id bigint, part string", partition_by=["part"])
+    for i in range(3):
+        lake.insert("t", spark.range(10 * i, 10 * i + 10).selectExpr("id", "concat('p ', id % 2) AS part"))
+    assert not lake.store.put_new(lake.log.name(1), b"{}")
+    lake.delete("t", "id = 5")
+    lake.merge_adjacent("t")
+    lake.cleanup_old_files()
+    assert lake.table("t").count() == 29
+    assert lake.table("t", version=4).count() == 20
+    assert lake.delete_orphaned_files(dry_run=True) == []
+    spark.range(3).coalesce(1).write.parquet(f"file://{tmp_path}/far/data/stray")
+    assert len(lake.delete_orphaned_files()) == 1
+    assert Lake(spark, lake.store.root).count("t") == 29
+    assert Lake.exists(spark, lake.store.root) and not Lake.exists(spark, f"file://{tmp_path}/nothing")
