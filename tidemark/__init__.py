@@ -6,6 +6,7 @@ plan over Parquet files.
 
 from .lake import Lake
 from .operators.dml import When
+from .session import Session
 from .state import ConflictError, LakeError
 
-__all__ = ["ConflictError", "Lake", "LakeError", "When"]
+__all__ = ["ConflictError", "Lake", "LakeError", "Session", "When"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.geometry import geometry_stats
 from .lake import Lake
 from .operators.dml import When
+from .session import Session
 from .sources.scan import literal_rows
 from .workspace import new_lake
 
@@ -418,6 +419,20 @@ def txn_multi(spark, sf):
     return one.unionByName(lake.table("customer").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("s")).select(F.lit("customer").alias("name"), "n", "s", commits.alias("commits")))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey % 9 <> 2 UNION ALL SELECT c_custkey + 1000000, -1 FROM customer WHERE c_custkey % 9 = 2")
+def sql_statements(spark, sf):
+    session = Session(filled(spark, sf, "customer", "c_custkey"))
+    session.run("""
+        CREATE TABLE gone AS SELECT c_custkey, c_custkey + 1000000 AS c_newkey FROM customer WHERE c_custkey % 9 = 2;
+        BEGIN;
+        UPDATE customer SET c_nationkey = c_nationkey + 100 WHERE c_custkey % 4 = 0;
+        MERGE INTO customer t USING gone s ON t.c_custkey = s.c_custkey WHEN MATCHED THEN DELETE;
+        INSERT INTO customer (c_custkey, c_nationkey) SELECT c_newkey, -1 FROM gone;
+        COMMIT;
+    """)
+    return session.execute("SELECT c_custkey, c_nationkey FROM customer")
+
+
 # --- the change feed
 
 
