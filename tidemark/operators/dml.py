@@ -31,8 +31,7 @@ def insert(tx, name: str, df: DataFrame) -> None:
         if small:
             tx.do({"op": "inline", "table": table.id, "types": types_of(table), "rows": small}, tag=("inlined_insert", table))
         return
-    for f in stage(tx.spark, tx.store, table, rows):
-        tx.do({"op": "file", "file": f}, tag=("inserted_into_table", table))
+    tx.do([{"op": "file", "file": f} for f in stage(tx.spark, tx.store, table, rows)], tag=("inserted_into_table", table))
 
 
 def rows_of(tx, table: Table, where: str | None = None) -> DataFrame:
@@ -70,8 +69,7 @@ def remove(tx, table: Table, hit: DataFrame) -> int:
         action["rows"] = [x for x in action["rows"] if x[0] not in whole]
     if action["counts"]:
         tx.do(action, tag=("deleted_from_table", table))
-    for f in sorted(whole):
-        tx.do({"op": "end_file", "table": table.id, "name": f, "why": "delete"}, tag=("deleted_from_table", table))
+    tx.do([{"op": "end_file", "table": table.id, "name": f, "why": "delete"} for f in sorted(whole)], tag=("deleted_from_table", table))
     if loose:
         tx.do({"op": "end_inline", "table": table.id, "rows": loose, "why": "delete"}, tag=("inlined_delete", table))
     return sum(counts.values()) + len(loose)
@@ -103,8 +101,7 @@ def update(tx, name: str, values: Mapping[str, Value], where: str | None = None)
     rows = hit.select(*(new.get(c.name.lower(), F.col(f"`{c.name}`")).alias(c.name) for c in table.columns), "_row_id")
     actions = put_again(tx, table, rows)
     n = remove(tx, table, hit)
-    for a in actions:
-        tx.do(a, tag=("inserted_into_table", table))
+    tx.do(actions, tag=("inserted_into_table", table))
     return n
 
 
@@ -183,8 +180,6 @@ def merge(tx, name: str, source: DataFrame, on: str, clauses: list[When]) -> dic
         gone = remove(tx, table, matched.select(*(F.col(f"t.{c}").alias(c) for c in LINEAGE)))
         done["updated"] = sum(len(a["rows"]) if a["op"] == "inline_again" else a["file"]["rows"] for a in actions)
         done["deleted"] = gone - done["updated"]
-        for a in actions:
-            tx.do(a, tag=("inserted_into_table", table))
-    for a in fresh:
-        tx.do(a, tag=("inserted_into_table", table))
+        tx.do(actions, tag=("inserted_into_table", table))
+    tx.do(fresh, tag=("inserted_into_table", table))
     return done
