@@ -84,6 +84,15 @@ def test_image_copies(spark, pictures):
     assert image_copies(df.where("id < 0")).count() == 0
 
 
+def test_copies_behind_other_images_of_their_keys(spark):
+    """Each corner of the last two images is in one of the smaller ones too, none of which has enough of them."""
+    a = scene(6, (36, 200))
+    parts = [(i, encode_image(a[:, 8 * i : 8 * i + 28])) for i in range(22)]
+    df = spark.createDataFrame([*parts, (100, encode_image(a)), (101, encode_image(a * 0.9))], "id long, image binary")
+    got = {r["id"]: r["class_id"] for r in image_copies(df).collect()}
+    assert got[100] == got[101]
+
+
 def test_image_formats():
     a = scene(4, (8, 12))
     assert np.allclose(decode_image(encode_image(a)), a / 255, atol=1e-6)
