@@ -93,6 +93,21 @@ def test_copies_behind_other_images_of_their_keys(spark):
     assert got[100] == got[101]
 
 
+def test_copies_of_short_pages(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 9, k)) for k in (9, 20, 60, 90, 130)]
+    rows = [(10 * i, t) for i, t in enumerate(texts)] + [(10 * i + 1, t[:-6] + "edited") for i, t in enumerate(texts)]
+    got = {r["id"]: r for r in image_copies(page_images(spark.createDataFrame(rows, "page_id long, html string"))).collect()}
+    assert {k: r["class_id"] for k, r in got.items()} == {k: k // 10 * 10 for k in got}
+    assert all(r["n_features"] >= 6 for r in got.values())
+
+
+def test_copies_of_small_pictures(spark):
+    a = scene(11, (16, 160))
+    df = spark.createDataFrame([(1, encode_image(a)), (2, encode_image(a * 0.9)), (3, encode_image(a[:, 20:140])), (4, encode_image(scene(12, (16, 160))))], "id long, image binary")
+    assert {r["id"]: r["class_id"] for r in image_copies(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_image_formats():
     a = scene(4, (8, 12))
     assert np.allclose(decode_image(encode_image(a)), a / 255, atol=1e-6)
