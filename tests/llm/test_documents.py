@@ -203,6 +203,18 @@ def test_model_is_a_distribution():
     assert model.score(*model.contexts(classes, np.array([0, len(text)])), classes).mean() > math.log10(1 / 21) + 0.2
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    """Two thousand words that each come twice before one of their own: more than a constant vocabulary held."""
+    from tidemark.llm.lm import corpus_counts
+
+    text = " ".join(f"w{i}" for i in range(2000))
+    rows = spark.createDataFrame([(text,)] * 40, "text string")
+    assert sum(len(r["words"]) for r in corpus_counts(rows, 1).collect()) == 2001
+    docs = spark.createDataFrame([(i, text, True) for i in range(40)] + [(100, "w7 w1500 w1501 w1502", False), (101, "w7 w1500 w300 w1100", False)], "doc_id long, text string, learn boolean")
+    got = {r["doc_id"]: r for r in score_texts(docs, "learn").collect()}
+    assert got[100]["score"] > got[101]["score"] and abs(got[100]["base_score"] - got[101]["base_score"]) < 1e-6
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark):
     out = op8_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]

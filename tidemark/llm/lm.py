@@ -2,9 +2,10 @@
 unigram base.
 
 The predicted vector of the next word is a sum over the two words before it of their vectors, weighted by position; its
-product with a word's vector plus the word's bias is the word's score, and scores are normalised over the vocabulary by
-batched matrix products. The vocabulary is the most frequent words of the corpus, the end of a text, and one class for
-all other words, among which a word has its add-one share of that class."""
+product with a word's vector plus the word's bias is the word's score. Words of like frequency form bins; a bin has a score
+of the same kind, and scores are normalised over the bins and over the words of a bin by batched matrix products. The
+vocabulary is the words of the corpus above a count, the end of a text, and one class for all other words, among which a
+word has its add-one share of that class."""
 
 from __future__ import annotations
 
@@ -50,8 +51,8 @@ def summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def corpus_counts(training: DataFrame, parts: int, most: int = 1 << 20) -> DataFrame:
-    """(n, kinds, words, counts): sums over one part of the words of all training texts, and its most frequent words. Words
-    are counted within a task before they are sent; a task holds up to `most` of them at a time."""
+    """(n, kinds, words, counts): sums over one part of the words of all training texts, and its words for the
+    vocabulary. Words are counted within a task before they are sent; a task holds up to `most` of them at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -75,7 +76,7 @@ def corpus_counts(training: DataFrame, parts: int, most: int = 1 << 20) -> DataF
         values = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in data])
         counts = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in data])
         values, counts = summed(values, counts)
-        top = np.lexsort((values, -counts))[:Model.WORDS]
+        top = Model.chosen(values, counts)
         return pa.table({"n": [int(counts.sum())], "kinds": [len(values)], "words": pa.array([values[top].view(np.int64)]), "counts": pa.array([counts[top]])})
 
     return training.mapInArrow(count, "p long, data binary").groupBy("p").applyInArrow(add, "n long, kinds long, words array<long>, counts array<long>")
@@ -84,20 +85,39 @@ def corpus_counts(training: DataFrame, parts: int, most: int = 1 << 20) -> DataF
 class Model:
     """Log-bilinear model over classes: 0 to k - 1 are words, k is any other word; k + 1 stands before a text."""
 
-    WORDS, SIZE, CONTEXT = 1021, 16, 2
+    #: Words that occur so often are in the vocabulary, and so many of the most frequent ones however rare they are.
+    OFTEN, LEAST = 20, 1021
+    SIZE, CONTEXT = 16, 2
     NOISE, BATCH, RATE = 48, 4096, 0.1
 
+    @classmethod
+    def chosen(cls, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Places of the words of the vocabulary, the most frequent first."""
+        order = np.lexsort((values, -counts))
+        return order[: max(cls.LEAST, int((counts >= cls.OFTEN).sum()))]
+
     def __init__(self, vocabulary: np.ndarray, share: np.ndarray, seed: int = 3):
         """vocabulary: sorted hashes of the words; share: of each class in the training tokens."""
         self.vocabulary, self.k = vocabulary, len(vocabulary)
         rng = np.random.default_rng(seed)
         scale = 0.3 / np.sqrt(self.SIZE)
         self.share = np.maximum(share, 1e-9)
+        # bins of equal sums of roots of shares, from the most frequent on: the cheapest for scoring
+        self.order = np.argsort(-self.share, kind="stable")
+        roots = np.cumsum(np.sqrt(self.share[self.order]))
+        found = np.unique(np.minimum((roots - roots[0]).astype(np.int64), int(roots[-1])), return_inverse=True)[1]
+        self.edges = np.concatenate([[0], np.flatnonzero(np.diff(found)) + 1, [len(found)]])
+        self.bin = np.empty(self.k + 1, np.int64)
+        self.bin[self.order] = found
+        self.bin_share = np.bincount(self.bin, self.share)
+        self.tables = None
         self.weights = {
             "before": rng.normal(0, scale, (self.k + 2, self.SIZE)).astype(np.float32),
             "next": rng.normal(0, scale, (self.k + 1, self.SIZE)).astype(np.float32),
             "place": np.ones((self.CONTEXT, self.SIZE), np.float32),
             "bias": np.log(self.share).astype(np.float32),
+            "bins": rng.normal(0, scale, (len(self.bin_share), self.SIZE)).astype(np.float32),
+            "bin_bias": np.log(self.bin_share).astype(np.float32),
         }
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
@@ -117,31 +137,40 @@ class Model:
         return one, two
 
     def step(self, state: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
-        """One batch of noise-contrastive estimation; its noise words serve all of its tokens."""
-        w = self.weights
-        noise = np.searchsorted(self.cumulative, rng.random(self.NOISE)).clip(0, self.k)
-        chance = np.log(self.share * self.NOISE).astype(np.float32)
+        """One batch of noise-contrastive estimation of words and of bins; its noise words serve all of its tokens. Only
+        the rows that it meets are changed."""
+        w, n = self.weights, len(target)
         vectors = (w["before"][one], w["before"][two])
         predicted = vectors[0] * w["place"][0] + vectors[1] * w["place"][1]
-        real = (predicted * w["next"][target]).sum(axis=1) + w["bias"][target] - chance[target]
-        false = predicted @ w["next"][noise].T + (w["bias"][noise] - chance[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        n = len(target)
-        back = up[:, None] * w["next"][target] + down @ w["next"][noise]
-        grad = {name: np.zeros_like(x) for name, x in w.items()}
-        scatter(grad["next"], np.concatenate([target, noise]), np.concatenate([up[:, None] * predicted, down.T @ predicted]))
-        grad["bias"] += np.bincount(target, up, self.k + 1).astype(np.float32) + np.bincount(noise, down.sum(axis=0), self.k + 1).astype(np.float32)
-        grad["place"][0], grad["place"][1] = (back * vectors[0]).sum(axis=0), (back * vectors[1]).sum(axis=0)
-        scatter(grad["before"], np.concatenate([one, two]), np.concatenate([back * w["place"][0], back * w["place"][1]]))
-        for name, g in grad.items():
-            g /= n
-            state[name] += g * g
-            w[name] += self.RATE * g / (np.sqrt(state[name]) + 1e-6)
+        back, changes = 0, []
+        for name, bias, share, cumulative, real_row in (("next", "bias", self.share, self.cumulative, target), ("bins", "bin_bias", self.bin_share, self.bin_cumulative, self.bin[target])):
+            noise = np.searchsorted(cumulative, rng.random(self.NOISE)).clip(0, len(share) - 1)
+            chance = lambda rows, share=share: np.log(share[rows] * self.NOISE).astype(np.float32)
+            real = (predicted * w[name][real_row]).sum(axis=1) + w[bias][real_row] - chance(real_row)
+            false = predicted @ w[name][noise].T + (w[bias][noise] - chance(noise))
+            up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
+            down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+            back = back + up[:, None] * w[name][real_row] + down @ w[name][noise]
+            grad = np.concatenate([up[:, None] * predicted, down.T @ predicted])
+            rows, times, grad = summed_rows(np.concatenate([real_row, noise]), np.column_stack([grad, np.concatenate([up, down.sum(axis=0)])]))
+            changes += [(name, rows, times, grad[:, :-1]), (bias, rows, times, grad[:, -1])]
+        place = np.stack([(back * vectors[0]).sum(axis=0), (back * vectors[1]).sum(axis=0)])
+        changes.append(("place", np.arange(self.CONTEXT), n, place))
+        changes.append(("before", *summed_rows(np.concatenate([one, two]), np.concatenate([back * w["place"][0], back * w["place"][1]]))))
+        for name, rows, times, g in changes:
+            g = g / n
+            past = state[name][rows] + g * g
+            state[name][rows] = past
+            w[name][rows] += self.RATE * g / (np.sqrt(past) + 1e-6)
+            if name in self.met:
+                self.met[name][rows] += times
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> int:
         """Learns from (hashes, first) of blocks of texts; the number of tokens."""
         self.cumulative = np.cumsum(self.share / self.share.sum())
+        self.bin_cumulative = np.cumsum(self.bin_share / self.bin_share.sum())
+        self.met = {"before": np.zeros(self.k + 2, np.float32), "next": np.zeros(self.k + 1, np.float32)}
+        self.tables = None
         state, rng, n = {k: np.full_like(v, 1e-4) for k, v in self.weights.items()}, np.random.default_rng(seed), 0
         for hashes, first in batches:
             target = self.classes(hashes)
@@ -154,63 +183,115 @@ class Model:
         return n
 
     def ready(self) -> None:
-        """Tables for scoring: what each word before adds to each word's score, and the logarithm of the normaliser of each
-        pair of words before, by one matrix product for each of the farther words."""
+        """Tables for scoring: what the words before add to the prediction, and the words' vectors in the order of bins."""
         w = self.weights
-        self.near = ((w["before"] * w["place"][0]) @ w["next"].T + w["bias"]).astype(np.float32)
-        self.far = ((w["before"] * w["place"][1]) @ w["next"].T).astype(np.float32)
-        self.norm = np.zeros((self.k + 2, self.k + 2), np.float32)
-        for two in range(self.k + 2):
-            scores = self.near + self.far[two]
-            top = scores.max(axis=1)
-            self.norm[:, two] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
-
-    def score(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 probability of each token's class."""
-        return (self.near[one, target].astype(np.float64) + self.far[two, target] - self.norm[one, two]) / np.log(10)
-
-
-def scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """out[rows] += values, repeated rows included."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
+        rank = np.empty(self.k + 1, np.int64)
+        rank[self.order] = np.arange(self.k + 1)
+        self.tables = (w["before"] * w["place"][0], w["before"] * w["place"][1], w["next"][self.order], w["bias"][self.order], rank)
+
+    def score(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """log10 probability of each token's class: of its bin, normalised once for each pair of words before, and of the
+        word within the bin."""
+        if self.tables is None:
+            self.ready()
+        near, far, following, bias, rank = self.tables
+        w, out, own, at = self.weights, np.zeros(len(target)), self.bin[target], rank[target]
+        pairs, which = np.unique(one * (self.k + 2) + two, return_inverse=True)
+        order, step = np.argsort(which, kind="stable"), max(1, most // len(self.bin_share))
+        cuts = np.searchsorted(which[order], np.arange(0, len(pairs) + step, step))
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            some = pairs[i * step : (i + 1) * step]
+            scores = (near[some // (self.k + 2)] + far[some % (self.k + 2)]) @ w["bins"].T + w["bin_bias"]
+            tokens = order[a:b]
+            row = which[tokens] - i * step
+            out[tokens] = scores[row, own[tokens]] - log_sums(scores)[row]
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(len(self.bin_share) + 1))
+        for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.edges) > 1)):
+            low, high = self.edges[c], self.edges[c + 1]
+            step = max(1, most // (high - low))
+            for a in range(cuts[c], cuts[c + 1], step):
+                tokens = order[a : min(a + step, cuts[c + 1])]
+                scores = (near[one[tokens]] + far[two[tokens]]) @ following[low:high].T + bias[low:high]
+                out[tokens] += scores[np.arange(len(tokens)), at[tokens] - low] - log_sums(scores)
+        return out / np.log(10)
+
+
+def log_sums(scores: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of the exponentials of each row."""
+    top = scores.max(axis=1)
+    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
+
+
+def summed_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, how often each is there, sums of their values)."""
+    order = np.argsort(rows.astype(np.uint32), kind="stable")
     rows = rows[order]
     begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    out[rows[begin]] += np.add.reduceat(values[order], begin)
+    return rows[begin], np.diff(np.append(begin, len(rows))), np.add.reduceat(values[order], begin)
 
 
 def train_model(training: DataFrame, vocabulary: np.ndarray, share: np.ndarray, first_docs: int = 200) -> Model:
     """A model of all training texts: every task starts from the same weights, learns from its own texts, and the tasks'
-    weights are averaged by their numbers of tokens. The common start has learned from up to first_docs texts. Weights
-    are summed in groups of tasks before they reach the driver."""
+    changes are averaged, those of a word by how often the tasks met it, the rest by their numbers of tokens. A task sends
+    the words that it met only, so that what is sent grows with the texts and not with tasks times words. The common start
+    has learned from up to first_docs texts."""
     model = Model(vocabulary, share)
     sample = training.where("text is not null").limit(first_docs).toArrow().column(0)
     if len(sample) and model.k:
         model.train(((h, f) for _, h, f in token_blocks(sample)), 1)
-    sent = training.sparkSession.sparkContext.broadcast(model)
+    if not model.k:
+        return model
+    sent, parts, k, width = training.sparkSession.sparkContext.broadcast(model), partitions(training.sparkSession), model.k, Model.SIZE + 1
+    rest = ("place", "bins", "bin_bias")
+    row = np.dtype([("row", np.int32), ("met", np.float32), ("change", np.float32, width)])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
         from pyspark import TaskContext
 
+        start = sent.value.weights
         own = copy.deepcopy(sent.value)
         part = TaskContext.get().partitionId()
         n = own.train(((h, f) for batch in batches for _, h, f in token_blocks(batch.column(0))), 100 + part)
-        if n:
-            flat = np.concatenate([x.ravel().astype(np.float64) for x in own.weights.values()]) * n
-            yield pa.RecordBatch.from_arrays([pa.array([part % 16], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["g", "n", "data"])
+        if not n:
+            return
+        before, after = np.flatnonzero(own.met["before"]), np.flatnonzero(own.met["next"])
+        found = np.zeros(len(before) + len(after), row)
+        found["row"] = np.concatenate([before, after + k + 2])
+        found["met"] = np.concatenate([own.met["before"][before], own.met["next"][after]])
+        found["change"][: len(before), :-1] = own.weights["before"][before] - start["before"][before]
+        found["change"][len(before) :, :-1] = own.weights["next"][after] - start["next"][after]
+        found["change"][len(before) :, -1] = own.weights["bias"][after] - start["bias"][after]
+        flat = np.concatenate([(own.weights[x] - start[x]).ravel().astype(np.float64) for x in rest]) * n
+        groups = [found[found["row"] % parts == g].tobytes() for g in range(parts)]
+        yield pa.RecordBatch.from_arrays([pa.array([*range(parts), -1 - part % 16], pa.int64()), pa.array([0] * parts + [n], pa.int64()), pa.array([*groups, flat.tobytes()], pa.binary())], names=["g", "n", "data"])
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in rows.column("data"))
-        return pa.table({"n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
-
-    found = training.mapInArrow(learn, "g long, n long, data binary").groupBy("g").applyInArrow(add, "n long, data binary").collect()
-    if found and model.k:
-        flat = sum(np.frombuffer(r["data"], np.float64) for r in found) / sum(r["n"] for r in found)
-        for name, x in model.weights.items():
-            model.weights[name] = flat[: x.size].reshape(x.shape).astype(np.float32)
-            flat = flat[x.size :]
-    model.ready()
+        g, data = rows.column("g")[0].as_py(), [x.as_buffer() for x in rows.column("data")]
+        if g < 0:
+            out = sum(np.frombuffer(x, np.float64) for x in data)
+        else:
+            found = np.concatenate([np.frombuffer(x, row) for x in data])
+            at, _, sums = summed_rows(found["row"], np.column_stack([found["change"] * found["met"][:, None], found["met"]])) if len(found) else (found["row"], 0, np.zeros((0, width + 1)))
+            out = np.zeros(len(at), row)
+            out["row"], out["met"], out["change"] = at, sums[:, -1], sums[:, :-1] / sums[:, -1:]
+        return pa.table({"g": pa.array([g], pa.int64()), "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
+
+    found = training.mapInArrow(learn, "g long, n long, data binary").groupBy("g").applyInArrow(add, "g long, n long, data binary").toArrow().to_pylist()
+    n, w = sum(r["n"] for r in found), model.weights
+    flat = sum(np.frombuffer(r["data"], np.float64) for r in found if r["g"] < 0) / max(n, 1)
+    for name in rest if n else ():
+        w[name] += flat[: w[name].size].reshape(w[name].shape).astype(np.float32)
+        flat = flat[w[name].size :]
+    for r in found:
+        if r["g"] >= 0:
+            x = np.frombuffer(r["data"], row)
+            first, after = x[x["row"] < k + 2], x[x["row"] >= k + 2]
+            w["before"][first["row"]] += first["change"][:, :-1]
+            w["next"][after["row"] - k - 2] += after["change"][:, :-1]
+            w["bias"][after["row"] - k - 2] += after["change"][:, -1]
     return model
 
 
@@ -225,17 +306,19 @@ def score_texts(docs: DataFrame, training: str, key: str = "doc_id", text: str =
 
     Counts cover all training texts. A word's count comes back to a chunk of documents by one exchange of the chunk's
     distinct words, so a frequent word is sent once from a chunk. What the driver sees is the vocabulary, two sums and the
-    averaged weights, none of which grows with the corpus.
+    averaged weights; the vocabulary grows with the corpus, as it holds every word that occurs Model.OFTEN times.
     """
     spark = docs.sparkSession
     learned = docs.where(F.col(training)).select(F.col(text).alias("text"))
     parts = partitions(spark)
     sums = checkpointed(corpus_counts(learned, parts))
     total, kinds = (int(x or 0) for x in sums.agg(F.sum("n"), F.sum("kinds")).first())
-    top = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").orderBy(F.desc("counts"), "words").limit(Model.WORDS).collect()
-    top = sorted((r[0] % 2**64, r[1]) for r in top)
-    vocabulary = np.array([h for h, _ in top], np.uint64)
-    counts = np.array([c for _, c in top], np.int64)
+    top = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").toArrow()
+    vocabulary, counts = (top.column(c).to_numpy().astype(t) for c, t in (("words", np.int64), ("counts", np.int64)))
+    vocabulary = vocabulary.view(np.uint64)
+    top = Model.chosen(vocabulary, counts)
+    top = top[np.argsort(vocabulary[top])]
+    vocabulary, counts = vocabulary[top], counts[top]
     other, other_kinds = total - int(counts.sum()), kinds - len(top)
     share = np.append(counts, other + 1) / (total + 1)
     model = train_model(learned, vocabulary, share)
