@@ -215,6 +215,19 @@ def test_vocabulary_grows_with_the_corpus(spark):
     assert got[100]["score"] > got[101]["score"] and abs(got[100]["base_score"] - got[101]["base_score"]) < 1e-6
 
 
+def test_the_driver_learns_from_no_texts(spark, monkeypatch):
+    import numpy as np
+
+    from tidemark.llm.lm import token_blocks, train_model
+
+    monkeypatch.setattr(Model, "train", None)  # of this process only, not of the tasks
+    rows = spark.createDataFrame([("a b a b",)] * 400, "text string").repartition(4)
+    _, hashes, _ = next(token_blocks(rows.toArrow().column(0)))
+    words = np.unique(hashes)
+    model = train_model(rows, words, np.array([0.4, 0.4, 0.19, 0.01]))
+    assert not np.allclose(model.weights["place"], 1)
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark):
     out = op8_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]

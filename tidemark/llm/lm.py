@@ -231,15 +231,12 @@ def summed_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows[begin], np.diff(np.append(begin, len(rows))), np.add.reduceat(values[order], begin)
 
 
-def train_model(training: DataFrame, vocabulary: np.ndarray, share: np.ndarray, first_docs: int = 200) -> Model:
+def train_model(training: DataFrame, vocabulary: np.ndarray, share: np.ndarray) -> Model:
     """A model of all training texts: every task starts from the same weights, learns from its own texts, and the tasks'
     changes are averaged, those of a word by how often the tasks met it, the rest by their numbers of tokens. A task sends
     the words that it met only, so that what is sent grows with the texts and not with tasks times words. The common start
-    has learned from up to first_docs texts."""
+    is made of the corpus-wide counts alone."""
     model = Model(vocabulary, share)
-    sample = training.where("text is not null").limit(first_docs).toArrow().column(0)
-    if len(sample) and model.k:
-        model.train(((h, f) for _, h, f in token_blocks(sample)), 1)
     if not model.k:
         return model
     sent, parts, k, width = training.sparkSession.sparkContext.broadcast(model), partitions(training.sparkSession), model.k, Model.SIZE + 1
