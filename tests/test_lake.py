@@ -344,3 +344,35 @@ def test_other_file_systems(spark, tmp_path, monkeypatch):
     assert len(lake.delete_orphaned_files()) == 1
     assert Lake(spark, lake.store.root).count("t") == 29
     assert Lake.exists(spark, lake.store.root) and not Lake.exists(spark, f"file://{tmp_path}/nothing")
+
+
+def test_copies_on_other_file_systems(spark, tmp_path, monkeypatch):
+    """A lake that is not on a local path is copied too, whole, and a query does so and reads the copy."""
+    import shutil
+
+    from tidemark import queries
+    from tidemark.store import Store
+
+    plain, copied = Store.__init__, []
+    monkeypatch.setattr(Store, "__init__", lambda self, s, root: (plain(self, s, root), setattr(self, "local", None))[0])
+    monkeypatch.setattr(Store, "copy_to", lambda self, folder, f=Store.copy_to: (f(self, folder), copied.append(folder))[0])
+    lake = Lake(spark, f"file://{tmp_path}/far")
+    lake.set_option("data_inlining_row_limit", 0)
+    lake.create_table("t", "id bigint")
+    lake.insert("t", spark.range(7))
+    lake.copy_to(f"file://{tmp_path}/copy")
+    with pytest.raises(FileExistsError):
+        lake.copy_to(f"file://{tmp_path}/copy")
+    shutil.rmtree(tmp_path / "far")
+    assert Lake(spark, f"file://{tmp_path}/copy").table("t").count() == 7
+    del copied[:]
+    rows = queries.copy_lake(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 5 and all(r["there"] for r in rows)
+    assert len(copied) == 1 and Lake.exists(spark, copied[0])
+
+
+def test_removed_files_are_counted(spark, monkeypatch):
+    from tidemark import queries
+
+    monkeypatch.setattr(Lake, "removed_files_after", lambda self, *a, f=Lake.removed_files_after: (d := f(self, *a)).unionAll(d))
+    assert {r["why"]: r["n"] for r in queries.removed_files_after(spark, "/root/testdata/sf0.001").collect()} == {"merge": 4, "delete": 2}

@@ -91,7 +91,13 @@ class Store:
         fs.delete(where, True)
 
     def copy_to(self, folder: str) -> None:
-        """Copies the whole lake to a new local folder."""
-        if not self.local:
-            raise ValueError("only a local lake can be copied")
-        shutil.copytree(self.local, folder)
+        """Copies the whole lake to a new folder, on the same file system or another."""
+        other = Store(self.spark, folder)
+        if self.local and other.local:
+            shutil.copytree(self.local, other.local)
+            return
+        (source, fs), (target, there) = self._fs(self.root), self._fs(other.root)
+        if there.exists(target):
+            raise FileExistsError(folder)
+        if not self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, there, target, False, self.spark._jsc.hadoopConfiguration()):
+            raise OSError(f"{self.root} was not copied to {folder}")
