@@ -20,8 +20,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is found; those without a letter, or without a text, go."""
-    found = identify_language(docs, learn_profiles(docs), pred="_pred", score="_score")
+    """Keeps documents in which a language is found; those without a letter, or without a text, go. Where no document names
+    its language there are no profiles, and all with a letter stay."""
+    profiles = learn_profiles(docs)
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = identify_language(docs, profiles, pred="_pred", score="_score")
     return found.where(F.col("_pred") != UNKNOWN).select(*COLUMNS)
 
 

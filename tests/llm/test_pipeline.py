@@ -36,3 +36,9 @@ def test_stages_keep_the_columns(spark, docs, empty):
             if name != "encode":
                 assert out.columns == now.columns
             out.collect()
+
+
+def test_texts_stay_where_no_language_is_named(spark):
+    rows = [(1, "some words"), (2, None), (3, ""), (4, "... 123 !!!"), (5, "日本語"), (None, "é")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()} == {1, 5, None}
