@@ -1,7 +1,7 @@
-"""Removal of long repeated word runs on a De Bruijn graph of the corpus: every window of `length` words is an edge
-between the two runs of length - 1 words that it holds. Edges that several documents have are found by joins on their
-fingerprints; nonbranching paths of them, whose windows and sources both follow each other, are compacted to spans; and a
-join with the documents of their source coordinates confirms each span on the words there."""
+"""Removal of long repeated word runs. Windows of `length` words that several documents have are found by an exchange of
+their fingerprints, in place of a De Bruijn graph, whose nodes and degrees are not built; windows that follow each other and
+whose sources do too are compacted to spans; and a join with the documents of their source coordinates confirms each span
+on the words there."""
 
 from __future__ import annotations
 
