@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import re
 import shutil
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,15 +37,30 @@ class Store:
             finally:
                 os.unlink(part)
         where, fs = self._fs(f"{self.root}/{name}")
+        part = f"{self.root}/{name}.{uuid.uuid4().hex}.part"
+        self._write(part, data)
         try:
-            out = fs.create(where, False)
+            self._rename(part, where)
+            return True
         except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
+            if "AlreadyExists" in str(e) or "already exists" in str(e) or fs.exists(where):
                 return False
             raise
+        finally:
+            fs.delete(self._fs(part)[0], False)
+
+    def _write(self, path: str, data: bytes) -> None:
+        where, fs = self._fs(path)
+        out = fs.create(where, False)
         out.write(bytearray(data))
         out.close()
-        return True
+
+    def _rename(self, part: str, where) -> None:
+        """Gives a whole file its name, which must be free: readers see all of it or nothing."""
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(jvm.org.apache.hadoop.fs.Path(part), where, none)
 
     def read(self, name: str) -> bytes:
         if self.local:
@@ -64,11 +80,11 @@ class Store:
         where, fs = self._fs(f"{self.root}/{folder}")
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
-    def files(self, folder: str) -> list[tuple[str, int]]:
-        """(path relative to the root, bytes) of all Parquet files below a folder."""
+    def files(self, folder: str) -> list[tuple[str, int, int]]:
+        """(path relative to the root, bytes, microseconds of its last change) of all Parquet files below a folder."""
         if self.local:
             found = [os.path.join(d, x) for d, _, names in os.walk(f"{self.local}/{folder}") for x in names if x.endswith(".parquet")]
-            return sorted((os.path.relpath(x, self.local), os.path.getsize(x)) for x in found)
+            return sorted((os.path.relpath(x, self.local), os.path.getsize(x), os.stat(x).st_mtime_ns // 1000) for x in found)
         where, fs = self._fs(f"{self.root}/{folder}")
         if not fs.exists(where):
             return []
@@ -76,7 +92,7 @@ class Store:
         while it.hasNext():
             s = it.next()
             if s.getPath().getName().endswith(".parquet"):
-                out.append((s.getPath().toUri().getPath()[len(top) :].lstrip("/"), s.getLen()))
+                out.append((s.getPath().toUri().getPath()[len(top) :].lstrip("/"), s.getLen(), s.getModificationTime() * 1000))
         return sorted(out)
 
     def delete(self, name: str) -> None:
