@@ -31,7 +31,7 @@ def insert(tx, name: str, df: DataFrame) -> None:
         if small:
             tx.do({"op": "inline", "table": table.id, "types": types_of(table), "rows": small}, tag=("inlined_insert", table))
         return
-    tx.do([{"op": "file", "file": f} for f in stage(tx.spark, tx.store, table, rows)], tag=("inserted_into_table", table))
+    tx.do([{"op": "file", "file": f} for f in stage(tx.spark, tx.store, table, rows, encrypt=tx.encrypted(table))], tag=("inserted_into_table", table))
 
 
 def rows_of(tx, table: Table, where: str | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def remove(tx, table: Table, hit: DataFrame) -> int:
         found = tx.spark.read.schema("d_file string, d_pos bigint").parquet(f"{tx.store.root}/{path}")
         counts = {r["d_file"]: r["n"] for r in found.groupBy("d_file").agg(F.count("*").alias("n")).collect()}
         loose = [r["_row_id"] for r in hit.where("_file is null").select("_row_id").collect()]
-        action["path"] = path
+        action["path"], action["bytes"] = path, sum(n for _, n, _ in tx.store.files(path))
     before: dict[str, int] = {}
     for d in tx.state.table_deletes(table.id):
         for f, n in d.counts.items():
@@ -88,7 +88,7 @@ def put_again(tx, table: Table, rows: DataFrame) -> list[dict]:
     if small is not None:
         return [{"op": "inline_again", "table": table.id, "types": types_of(table), "rows": small}] if small else []
     values = values.withColumn("_snapshot_id", F.lit(None).cast("bigint"))
-    return [{"op": "file", "file": f} for f in stage(tx.spark, tx.store, table, values, lineage=True)]
+    return [{"op": "file", "file": f} for f in stage(tx.spark, tx.store, table, values, lineage=True, encrypt=tx.encrypted(table))]
 
 
 def update(tx, name: str, values: Mapping[str, Value], where: str | None = None) -> int:
@@ -118,10 +118,10 @@ class When:
 
 def merge(tx, name: str, source: DataFrame, on: str, clauses: list[When]) -> dict[str, int]:
     """MERGE INTO name t USING source s ON on: the first clause that fits each row acts. A target row that several source
-    rows would change is an error."""
+    rows would change is an error. The join runs once: what it says is written beside the table until the commit."""
     table = tx.state.table(name)
     target = rows_of(tx, table).alias("t")
-    source = source.withColumn("_source", F.monotonically_increasing_id()).alias("s")
+    source = source.alias("s")
     names = [c.name for c in table.columns]
     there = {c.lower() for c in source.columns}
 
@@ -141,45 +141,31 @@ def merge(tx, name: str, source: DataFrame, on: str, clauses: list[When]) -> dic
             out = F.when(F.expr(c.where), F.lit(i)).otherwise(out) if c.where else F.lit(i)
         return out
 
-    done = {"updated": 0, "deleted": 0, "inserted": 0}
-    matched = target.join(source, F.expr(on), "inner").withColumn("_act", act(True)).where("_act is not null")
-    if any(c.matched for c in clauses):
-        twice = matched.groupBy(F.col("t._row_id")).count().where("count > 1").limit(1).collect()
-        if twice:
-            raise LakeError("several source rows match one target row")
-        updates = [(i, c) for i, c in enumerate(clauses) if c.matched and not c.delete]
-        actions = []
-        if updates:
-            values = []
-            for c in names:
-                v = F.lit(None)
-                for i, clause in updates:
-                    v = F.when(F.col("_act") == i, setting(clause, c)).otherwise(v)
-                values.append(v.alias(c))
-            rows = matched.where(F.col("_act").isin([i for i, _ in updates])).select(*values, F.col("t._row_id").alias("_row_id"))
-            actions = put_again(tx, table, rows)
-    inserts = [(i, c) for i, c in enumerate(clauses) if not c.matched]
-    fresh = []
-    if inserts:
-        free = source.join(target, F.expr(on), "left_anti").withColumn("_act", act(False)).where("_act is not null")
-        values = []
-        for c in names:
-            v = F.lit(None)
-            for i, clause in inserts:
-                v = F.when(F.col("_act") == i, setting(clause, c)).otherwise(v)
-            values.append(v.alias(c))
-        rows = physical(table, free.select(*values))
-        small = inlined(rows, tx.limit(table))
-        if small is None:
-            fresh = [{"op": "file", "file": f} for f in stage(tx.spark, tx.store, table, rows)]
-            done["inserted"] = sum(f["file"]["rows"] for f in fresh)
-        elif small:
-            fresh = [{"op": "inline", "table": table.id, "types": types_of(table), "rows": small}]
-            done["inserted"] = len(small)
-    if any(c.matched for c in clauses):
-        gone = remove(tx, table, matched.select(*(F.col(f"t.{c}").alias(c) for c in LINEAGE)))
-        done["updated"] = sum(len(a["rows"]) if a["op"] == "inline_again" else a["file"]["rows"] for a in actions)
-        done["deleted"] = gone - done["updated"]
-        tx.do(actions, tag=("inserted_into_table", table))
+    def value(c: str) -> Column:
+        out = F.lit(None)
+        for i, clause in enumerate(clauses):
+            if not clause.delete:
+                out = F.when(F.col("_act") == i, setting(clause, c)).otherwise(out)
+        return out.cast(table.column(c).type).alias(c)
+
+    kind = "left" if any(not c.matched for c in clauses) else "inner"
+    met = source.join(target, F.expr(on), kind).withColumn("_act", F.when(F.col("t._row_id").isNotNull(), act(True)).otherwise(act(False))).where("_act is not null")
+    place = f"data/{table.id}/merge-{uuid.uuid4().hex}"
+    met.select("_act", *(F.col(f"t.{c}").alias(c) for c in LINEAGE), *map(value, names)).write.parquet(f"{tx.store.root}/{place}")
+    tx.after.append(place)
+    met = tx.spark.read.parquet(f"{tx.store.root}/{place}")
+    of = lambda *which: met.where(F.col("_act").isin([i for i, c in enumerate(clauses) if (c.matched, c.delete) in which]))
+    if met.where("_row_id is not null").groupBy("_row_id").count().where("count > 1").head(1):
+        raise LakeError("several source rows match one target row")
+    actions = put_again(tx, table, of((True, False)).select(*names, "_row_id")) if any(c.matched and not c.delete for c in clauses) else []
+    rows = physical(table, of((False, False)).select(*names))
+    small, fresh = inlined(rows, tx.limit(table)), []
+    if small is None:
+        fresh = [{"op": "file", "file": f} for f in stage(tx.spark, tx.store, table, rows, encrypt=tx.encrypted(table))]
+    elif small:
+        fresh = [{"op": "inline", "table": table.id, "types": types_of(table), "rows": small}]
+    gone = remove(tx, table, of((True, False), (True, True)))
+    size = lambda found: sum(len(a["rows"]) if "rows" in a else a["file"]["rows"] for a in found)
+    tx.do(actions, tag=("inserted_into_table", table))
     tx.do(fresh, tag=("inserted_into_table", table))
-    return done
+    return {"updated": size(actions), "deleted": gone - size(actions), "inserted": size(fresh)}

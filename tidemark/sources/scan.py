@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cipher import decrypted
 from ..plans.prune import matches, parse, with_buckets
 from ..state import Column, Deletes, File, InlineRow, LakeError, State, Table
 
@@ -87,14 +88,14 @@ def read_files(spark: SparkSession, root: str, table: Table, files: list[File],
     hit = {n for d in deletes for n in d.counts}
     groups: dict[tuple, list[File]] = defaultdict(list)
     for f in files:
-        key = (tuple(sorted(f.types.items())), f.lineage, json.dumps(f.names, sort_keys=True), json.dumps(f.constants, sort_keys=True), f.name in hit)
+        key = (tuple(sorted(f.types.items())), f.lineage, json.dumps(f.names, sort_keys=True), json.dumps(f.constants, sort_keys=True), f.name in hit, f.key)
         groups[key].append(f)
     parts = []
     for group in groups.values():
         one = group[0]
         types = dict(one.types)
         names = one.names or {}
-        stored = [f"`{names.get(i, f'c{i}')}` {t}" for i, t in sorted(types.items(), key=lambda x: int(x[0]))]
+        stored = [f"`{names.get(i, f'c{i}')}` {'binary' if one.key else t}" for i, t in sorted(types.items(), key=lambda x: int(x[0]))]
         if one.lineage:
             stored += ["_row_id bigint", "_snapshot_id bigint"]
         paths = [f.path if "://" in f.path or f.path.startswith("/") else f"{root}/{f.path}" for f in group]
@@ -104,7 +105,8 @@ def read_files(spark: SparkSession, root: str, table: Table, files: list[File],
         else:
             df = spark.read.parquet(*paths)
         extra = [file_name().alias("_file"), F.col("_metadata.row_index").alias("_pos")] if placed else []
-        df = df.select(*(F.col(f"`{names.get(i, f'c{i}')}`").alias(f"c{i}") for i in types), *(["_row_id", "_snapshot_id"] if one.lineage else []), *extra)
+        clear = (lambda v, t, k=one.key: decrypted(v, k, t, JSON_OPTIONS)) if one.key else (lambda v, t: v)
+        df = df.select(*(clear(F.col(f"`{names.get(i, f'c{i}')}`"), t).alias(f"c{i}") for i, t in types.items()), *(["_row_id", "_snapshot_id"] if one.lineage else []), *extra)
         if one.name in hit:
             gone = delete_rows(spark, root, deletes, {f.name for f in group})
             few = sum(d.counts.get(f.name, 0) for d in deletes for f in group) <= BROADCAST_FILES
@@ -168,13 +170,13 @@ def visible_files(state: State, head: State, table: Table) -> list[tuple[File, i
     return out
 
 
-def scan(spark: SparkSession, root: str, state: State, head: State, table: Table, where: str | None = None, lineage: bool = False) -> DataFrame:
-    """The table's rows at a state. where prunes files and filters rows; lineage adds `_row_id`, `_snapshot_id` and, for
+def scan(spark: SparkSession, root: str, state: State, head: State, table: Table, where: str | None = None, lineage: bool = False, tree: tuple | None = None) -> DataFrame:
+    """The table's rows at a state. where prunes files and filters rows; tree, a predicate as parsed, only prunes; lineage adds `_row_id`, `_snapshot_id` and, for
     rows of files, `_file` and `_pos`."""
     if where:
         tree = with_buckets(spark, parse(spark, where), table)
     found = visible_files(state, head, table)
-    if where:
+    if tree is not None:
         found = [(f, n) for f, n in found if matches(tree, f, table)]
     deletes = state.table_deletes(table.id)
     parts = [read_files(spark, root, table, [f for f, n in found if n is None], deletes, lineage), read_inline(spark, table, state.table_inline(table.id), lineage)]

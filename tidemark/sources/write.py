@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import secrets
 import uuid
 
 from pyspark.sql import Column as SparkColumn
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cipher import decrypted, encrypted
+from ..functions.geometry import geometry_stats
 from ..functions.transforms import marked, transform, unmarked
 from ..state import LakeError, Table
 from ..store import Store
@@ -67,10 +70,14 @@ def leaves(name: SparkColumn, kind: T.DataType, path: str) -> list[tuple[str, Sp
     return [(path, F.lit(None).cast("string"), F.lit(None).cast("string"), name.isNull())]
 
 
-def file_stats(spark: SparkSession, folder: str, schema: T.StructType, columns: dict[str, str], parts: dict[str, SparkColumn] | None = None) -> dict[str, tuple]:
+def file_stats(spark: SparkSession, folder: str, schema: T.StructType, columns: dict[str, str], parts: dict[str, SparkColumn] | None = None, shapes: tuple[str, ...] = (), key: str | None = None) -> dict[str, tuple]:
     """{file name: (rows, {path: {nulls, min, max, nan}}, partition values)} by one aggregation over what was written.
-    columns: id by name; parts: partition values by their keys, one for a file."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+    columns: id by name; parts: partition values by their keys, one for a file; shapes: names of columns of WKT, whose box
+    and types are kept as `geo`; key: of encrypted files."""
+    hidden = T.StructType([T.StructField(f.name, T.BinaryType() if key and f.name in columns else f.dataType) for f in schema.fields])
+    df = spark.read.schema(hidden).option("recursiveFileLookup", "true").parquet(folder)
+    if key:
+        df = df.select("*", "_metadata").withColumns({f.name: decrypted(F.col(f.name), key, f.dataType.simpleString(), JSON_OPTIONS) for f in schema.fields if f.name in columns})
     found = [(p, *rest, isinstance(f.dataType, T.FloatType | T.DoubleType)) for f in schema.fields if f.name in columns for p, *rest in leaves(F.col(f"`{f.name}`"), f.dataType, columns[f.name])]
     exprs = [F.count("*").alias("n"), *(F.max(marked(v)).alias(f"p{i}") for i, v in enumerate((parts or {}).values()))]
     for i, (_, low, high, null, real) in enumerate(found):
@@ -78,17 +85,20 @@ def file_stats(spark: SparkSession, folder: str, schema: T.StructType, columns:
         above = F.when(F.isnan(high), None).otherwise(high) if real else high
         exprs += [F.min(value).cast("string").alias(f"l{i}"), F.max(above).cast("string").alias(f"h{i}"), F.count_if(null).alias(f"z{i}")]
         exprs.append(F.coalesce(F.bool_or(F.isnan(low)), F.lit(False)).alias(f"a{i}") if real else F.lit(False).alias(f"a{i}"))
+    exprs += [F.to_json(F.struct(*geometry_stats(F.col(n)))).alias(f"g{columns[n]}") for n in shapes]
     out = {}
     for r in df.groupBy(file_name().alias("f")).agg(*exprs).collect():
         stats = {p: {"nulls": r[f"z{i}"], "min": r[f"l{i}"], "max": r[f"h{i}"], **({"nan": True} if r[f"a{i}"] else {})} for i, (p, *_) in enumerate(found)}
+        for n in shapes:
+            stats[columns[n]]["geo"] = r[f"g{columns[n]}"]
         out[r["f"]] = (r["n"], stats, {k: unmarked(r[f"p{i}"]) for i, k in enumerate(parts or {})})
     return out
 
 
-def stage(spark: SparkSession, store: Store, table: Table, df: DataFrame, lineage: bool = False, origin: str = "write", sources: tuple[str, ...] = (), target_bytes: int | None = None) -> list[dict]:
+def stage(spark: SparkSession, store: Store, table: Table, df: DataFrame, lineage: bool = False, origin: str = "write", sources: tuple[str, ...] = (), encrypt: bool = False) -> list[dict]:
     """Writes physical rows in the table's partitions and sort order; the descriptions of the files, empty ones left out.
 
-    A partitioned write first brings a partition's rows together, in tasks that Spark sizes and splits by itself.
+    With encrypt the values are encrypted by a new key, which only the log knows. A partitioned write first brings a partition's rows together, in tasks that Spark sizes and splits by itself.
     """
     names = {str(c.id): c for c in table.columns}
     parts = {}
@@ -103,14 +113,17 @@ def stage(spark: SparkSession, store: Store, table: Table, df: DataFrame, lineag
         df = df if parts else df.hint("rebalance")
         df = df.sortWithinPartitions(*part, *order, *(["_row_id"] if lineage else []))
     folder = f"data/{table.id}/{uuid.uuid4().hex}"
+    key = secrets.token_hex(16) if encrypt else None
+    if key:
+        df = df.withColumns({f"c{c.id}": encrypted(F.col(f"c{c.id}"), key, JSON_OPTIONS) for c in table.columns})
     writer = df.write
     (writer.partitionBy(*part) if parts else writer).parquet(f"{store.root}/{folder}")
     files = store.files(folder)
     if not files:
         return []
-    stats = file_stats(spark, f"{store.root}/{folder}", schema, {f"c{c.id}": str(c.id) for c in table.columns}, parts)
+    stats = file_stats(spark, f"{store.root}/{folder}", schema, {f"c{c.id}": str(c.id) for c in table.columns}, parts, tuple(f"c{c.id}" for c in table.columns if c.geometry), key)
     out = []
-    for path, size in files:
+    for path, size, _ in files:
         name = "/".join(path.split("/")[-2:])
         if name not in stats:
             store.delete(path)
@@ -118,7 +131,7 @@ def stage(spark: SparkSession, store: Store, table: Table, df: DataFrame, lineag
         rows, found, held = stats[name]
         out.append({
             "name": name, "path": path, "table": table.id, "rows": rows, "bytes": size, "types": types_of(table), "lineage": lineage, "origin": origin,
-            "partition": held if parts else None, "partition_version": table.partition_version if parts else None, "stats": found, "sources": list(sources),
+            "partition": held if parts else None, "partition_version": table.partition_version if parts else None, "stats": found, "sources": list(sources), "key": key,
         })
     return out
 
