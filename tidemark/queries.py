@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.geometry import geometry_stats
+from .functions.uuids import as_uuid
 from .lake import Lake
 from .operators.dml import When
 from .session import Session
+from .state import ConflictError
 from .sources.scan import literal_rows
 from .workspace import new_lake
 
@@ -100,38 +102,117 @@ def parted(spark, sf, **options) -> Lake:
     return filled(spark, sf, partition_by=["o_orderstatus"], **options)
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def pruned(lake: Lake, name: str, where: str, version: int | None = None):
+    """Whether a scan with a predicate reads some of the files, but not all."""
+    return F.lit(0 < len(lake.files(name, version=version, where=where)) < len(lake.files(name, version=version))).alias("pruned")
+
+
+@query("SELECT o_orderkey, o_orderstatus, true AS pruned FROM orders WHERE o_orderstatus = 'F'")
 def partition_eq(spark, sf):
-    return parted(spark, sf).table("orders", where="o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
+    lake, where = parted(spark, sf), "o_orderstatus = 'F'"
+    return lake.table("orders", where=where).select("o_orderkey", "o_orderstatus", pruned(lake, "orders", where))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, true AS pruned FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 0")
 def partition_eq_history(spark, sf):
-    return parted(spark, sf).table("orders", version=3, where="o_orderstatus = 'O'").select("o_orderkey")
+    lake, where = parted(spark, sf), "o_orderstatus = 'O'"
+    return lake.table("orders", version=3, where=where).select("o_orderkey", pruned(lake, "orders", where, 3))
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus > 'F' AND o_orderstatus <= 'P'")
+@query("SELECT o_orderkey, o_orderstatus, true AS pruned FROM orders WHERE o_orderstatus > 'F' AND o_orderstatus <= 'P'")
 def partition_range(spark, sf):
-    return parted(spark, sf).table("orders", where="o_orderstatus > 'F' AND o_orderstatus <= 'P'").select("o_orderkey", "o_orderstatus")
+    lake, where = parted(spark, sf), "o_orderstatus > 'F' AND o_orderstatus <= 'P'"
+    return lake.table("orders", where=where).select("o_orderkey", "o_orderstatus", pruned(lake, "orders", where))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")
+@query("SELECT o_orderkey, true AS pruned FROM orders WHERE o_orderstatus IN ('F', 'P')")
 def partition_in(spark, sf):
-    return parted(spark, sf).table("orders", where="o_orderstatus IN ('F', 'P')").select("o_orderkey")
+    lake, where = parted(spark, sf), "o_orderstatus IN ('F', 'P')"
+    return lake.table("orders", where=where).select("o_orderkey", pruned(lake, "orders", where))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 1000 AND 2000 AND o_custkey <> 5")
-def stats_prune(spark, sf):
+def ranges(spark: SparkSession, sf: str) -> Lake:
+    """Orders in three files, each of a range of keys that share no key."""
     lake, df = new_lake(spark), read(spark, sf, "orders")
     lake.set_option("data_inlining_row_limit", 0)
     lake.create_table("orders", df.schema, sort_by=["o_orderkey"])
-    lake.insert("orders", df)
-    return lake.table("orders", where="o_orderkey >= 1000 AND o_orderkey <= 2000 AND o_custkey <> 5").select("o_orderkey", "o_custkey")
+    for where in ("o_orderkey < 500", "o_orderkey BETWEEN 500 AND 999", "o_orderkey > 999"):
+        lake.insert("orders", df.where(where).coalesce(1))
+    return lake
+
 
+@query("SELECT o_orderkey, o_custkey, true AS pruned FROM orders WHERE o_orderkey BETWEEN 500 AND 900 AND o_custkey <> 5")
+def stats_prune(spark, sf):
+    lake, where = ranges(spark, sf), "o_orderkey >= 500 AND o_orderkey <= 900 AND o_custkey <> 5"
+    return lake.table("orders", where=where).select("o_orderkey", "o_custkey", pruned(lake, "orders", where))
 
-@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 20")
+
+@query("SELECT o_orderkey, true AS pruned FROM orders WHERE 999 < o_orderkey AND 40 >= o_custkey")
+def constant_on_left(spark, sf):
+    lake, where = ranges(spark, sf), "999 < o_orderkey AND 40 >= o_custkey"
+    return lake.table("orders", where=where).select("o_orderkey", pruned(lake, "orders", where))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND (o_orderstatus = 'F' OR o_orderstatus IS NULL) AND coalesce(o_totalprice > 1000, true)")
+def optional_filters(spark, sf):
+    """Filters that statistics can't decide, and one that a join brings, lose no rows beside those that prune."""
+    lake = parted(spark, sf)
+    lake.create_table_as("customer", read(spark, sf, "customer"))
+    return lake.sql(SQL["optional_filters"])
+
+
+@query("SELECT o_orderkey, o_custkey, true AS pruned FROM orders ORDER BY o_orderkey DESC LIMIT 20")
 def topn_by_stats(spark, sf):
-    return filled(spark, sf).top_n("orders", "o_orderkey", 20).select("o_orderkey", "o_custkey")
+    lake = ranges(spark, sf)
+    few = F.lit(len(lake.top_files("orders", "o_orderkey", 20)) < len(lake.files("orders")))
+    return lake.top_n("orders", "o_orderkey", 20).select("o_orderkey", "o_custkey", few.alias("pruned"))
+
+
+@query("SELECT row_number() OVER (ORDER BY max(o_orderkey) DESC) - 1 AS place, max(o_orderkey) AS high FROM orders GROUP BY CASE WHEN o_orderkey < 500 THEN 0 WHEN o_orderkey < 1000 THEN 1 ELSE 2 END")
+def topn_file_order(spark, sf):
+    lake = ranges(spark, sf)
+    key = str(lake.state().table("orders").column("o_orderkey").id)
+    rows = [{"place": i, "high": int(f.stats[key]["max"])} for i, f in enumerate(lake.ordered_files("orders", "o_orderkey", descending=True))]
+    return literal_rows(spark, rows, "place bigint, high bigint")
+
+
+@query("SELECT 9007199254740992 + n_nationkey AS big, CAST(DATE '2024-01-01' + n_nationkey AS DATE) AS day FROM nation ORDER BY n_nationkey DESC LIMIT 3")
+def topn_bigint(spark, sf):
+    """Neighbouring numbers beyond those that doubles tell apart, and dates."""
+    lake = new_lake(spark)
+    lake.set_option("data_inlining_row_limit", 0)
+    lake.create_table("t", "big BIGINT, day DATE")
+    rows = read(spark, sf, "nation").select((F.lit(9007199254740992) + F.col("n_nationkey")).alias("big"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey").cast("int")).alias("day"))
+    for i in range(3):
+        lake.insert("t", rows.where(F.pmod("big", F.lit(3)) == i))
+    days = lake.top_n("t", "day", 3).withColumn("i", F.row_number().over(Window.orderBy(F.desc("day"))))
+    return lake.top_n("t", "big", 3).withColumn("i", F.row_number().over(Window.orderBy(F.desc("big")))).select("big", "i").join(days.select("day", "i"), "i").select("big", "day")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, true AS strict FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 1 GROUP BY 1")
+def partition_lookup(spark, sf):
+    """A strict lookup finds the files of a partition only; a scan has to read those from before partitioning too."""
+    lake, df = new_lake(spark), read(spark, sf, "orders")
+    lake.set_option("data_inlining_row_limit", 0)
+    lake.create_table("orders", df.schema)
+    lake.insert("orders", df.where("o_orderkey % 2 = 0"))
+    lake.set_partitioning("orders", ["o_orderstatus"])
+    lake.insert("orders", df.where("o_orderkey % 2 = 1"))
+    found = lake.partition_files("orders", {"o_orderstatus": "F"})
+    strict = len(found) < len(lake.files("orders", where="o_orderstatus = 'F'"))
+    return literal_rows(spark, [{"status": "F", "n": sum(f.rows for f in found), "strict": strict}], "status string, n bigint, strict boolean")
+
+
+@query("SELECT o_orderkey, o_custkey, true AS encrypted FROM orders WHERE o_orderkey % 3 < 2")
+def encrypted_files(spark, sf):
+    """Files whose keys only the log has: no name or value of the rows can be read from them without it."""
+    lake, df = new_lake(spark), read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    lake.set_option("encrypted", "true")
+    lake.create_table_as("orders", df)
+    lake.delete("orders", "o_orderkey % 3 = 2")
+    raw = spark.read.parquet(*[f"{lake.store.root}/{f.path}" for f in lake.files("orders")])
+    hidden = all(t == "binary" for _, t in raw.dtypes) and all(f.key for f in lake.files("orders"))
+    return lake.table("orders").select("o_orderkey", "o_custkey", F.lit(hidden).alias("encrypted"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -286,6 +367,11 @@ over("case_when", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'even' EL
 over("projection_div", "SELECT o_orderkey, o_custkey / 10 AS tenth, o_custkey * 2 - 1 AS twice FROM orders")
 over("cast_concat", "SELECT o_orderkey, CAST(o_custkey AS STRING) || '-' || o_orderstatus AS tag, CAST(o_custkey AS DECIMAL(18, 3)) AS exact FROM orders")
 over("fn_string", "SELECT c_custkey, left(c_name, 3) AS a, repeat(c_mktsegment, 2) AS b, md5(c_name) AS c, CAST(length(c_name) AS BIGINT) AS d, substr(c_name, 2, 4) AS e, replace(c_name, '0', 'o') AS f FROM customer", "customer", "c_custkey")
+@query("SELECT c_custkey, CAST(CAST(md5(c_name) AS UUID) AS VARCHAR) AS id FROM customer")
+def cast_uuid(spark, sf):
+    return filled(spark, sf, "customer", "c_custkey").table("customer").select("c_custkey", as_uuid(F.md5("c_name")).alias("id"))
+
+
 over("fn_conditional", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') AS status FROM orders")
 over("agg_count_if", "SELECT o_orderstatus, CAST(count_if(o_custkey % 2 = 0) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus")
 over("agg_filter", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS closed, count(*) AS total FROM orders")
@@ -348,8 +434,8 @@ def orphan_files(spark, sf):
     lake = filled(spark, sf)
     read(spark, sf, "region").coalesce(1).write.parquet(f"{lake.store.root}/data/stray")
     read(spark, sf, "nation").coalesce(1).write.parquet(f"{lake.store.root}/data/lost")
-    gone = len(lake.delete_orphaned_files())
-    return literal_rows(spark, [{"orphans": gone, "after": len(lake.delete_orphaned_files(dry_run=True))}], "orphans int, after int")
+    gone = len(lake.delete_orphaned_files(older_than=0))
+    return literal_rows(spark, [{"orphans": gone, "after": len(lake.delete_orphaned_files(dry_run=True, older_than=0))}], "orphans int, after int")
 
 
 # --- row mutations
@@ -431,6 +517,22 @@ def sql_statements(spark, sf):
     return session.execute("SELECT c_custkey, c_nationkey FROM customer")
 
 
+@query("SELECT o_orderkey % 3 AS part, count(*) AS n FROM orders WHERE o_orderkey > 100 AND o_orderkey % 3 < 2 GROUP BY 1")
+def session_variables(spark, sf):
+    """Values kept between statements: a version to read at, and a number."""
+    session = Session(filled(spark, sf))
+    session.run("SET VARIABLE low = 100; SET VARIABLE then = (SELECT max(snapshot_id) - 1 FROM snapshots())")
+    return session.execute("SELECT o_orderkey % 3 AS part, count(*) AS n FROM table_insertions('orders', 0, getvariable('then')) x WHERE o_orderkey > getvariable('low') GROUP BY 1")
+
+
+@query("SELECT 'moved from orders' AS note, o.region, t.n FROM (SELECT 7 AS region) o, (SELECT count(*) AS n FROM region) t")
+def sql_names(spark, sf):
+    """Text in quotes, a column and a common table expression named as tables stay what they are."""
+    lake = filled(spark, sf, "region", "r_regionkey", 1)
+    lake.create_table_as("orders", read(spark, sf, "orders"))
+    return lake.sql("WITH orders AS (SELECT 7 AS region) SELECT 'moved from orders' AS note, orders.region, t.n FROM orders, (SELECT count(*) AS n FROM region) t")
+
+
 # --- the change feed
 
 
@@ -523,24 +625,32 @@ def flush_partitioned(spark, sf):
     return lake.table("nation", where="n_regionkey = 2").select("n_nationkey", "n_regionkey")
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+def with_disorder(lake: Lake, name: str, *order):
+    """A table's rows with `disorder`: how many rows of its files lie before one that should come first."""
+    rows = lake.table(name, lineage=True)
+    rank = F.row_number().over(Window.partitionBy("_file").orderBy(*order, "_pos"))
+    wrong = rows.withColumn("rank", rank).where(F.col("rank") != F.col("_pos") + 1).count()
+    return rows.withColumn("disorder", F.lit(wrong).cast("bigint"))
+
+
+@query("SELECT n_nationkey, n_name, 0 AS disorder FROM nation")
 def flush_sorted(spark, sf):
     lake = filled(spark, sf, "nation", "n_nationkey", 2, inline=100, sort_by=[("n_regionkey * n_regionkey", "desc"), "n_name"])
     lake.flush_inlined("nation")
-    return lake.table("nation").select("n_nationkey", "n_name")
+    return with_disorder(lake, "nation", (F.col("n_regionkey") * F.col("n_regionkey")).desc(), "n_name").select("n_nationkey", "n_name", "disorder")
 
 
-@query("SELECT event_id, ts FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' ORDER BY 1")
+@query("SELECT event_id, ts, true AS pruned FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' ORDER BY 1")
 def partition_transforms(spark, sf):
     by = [("year", "ts"), ("month", "ts"), ("day", "ts"), ("bucket", "event_type", 2)]
-    lake = filled(spark, sf, "events", "event_id", 1, partition_by=by)
-    return lake.table("events", where="ts >= timestamp_ntz'2024-01-15 00:00:00' AND ts < timestamp_ntz'2024-01-16 00:00:00'").select("event_id", "ts")
+    lake, where = filled(spark, sf, "events", "event_id", 1, partition_by=by), "ts >= timestamp_ntz'2024-01-15 00:00:00' AND ts < timestamp_ntz'2024-01-16 00:00:00'"
+    return lake.table("events", where=where).select("event_id", "ts", pruned(lake, "events", where))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type = 'click'")
+@query("SELECT event_id, user_id, true AS pruned FROM events WHERE event_type = 'click'")
 def bucket_eq(spark, sf):
-    lake = filled(spark, sf, "events", "event_id", 1, partition_by=[("bucket", "event_type", 4)])
-    return lake.table("events", where="event_type = 'click'").select("event_id", "user_id")
+    lake, where = filled(spark, sf, "events", "event_id", 1, partition_by=[("bucket", "event_type", 4)]), "event_type = 'click'"
+    return lake.table("events", where=where).select("event_id", "user_id", pruned(lake, "events", where))
 
 
 @query("SELECT CAST(v AS BIGINT) AS snapshot_id FROM (VALUES (0), (1), (4), (5)) t(v)")
@@ -550,6 +660,77 @@ def expire_snapshots(spark, sf):
     return lake.snapshots().select("snapshot_id")
 
 
+@query("SELECT r_regionkey, 0 AS young, 0 AS kept, 1 AS listed FROM region WHERE r_regionkey % 2 = 0")
+def cleanup_ages(spark, sf):
+    """A file that came free just now stays until it is old enough, by argument or option, or until all are cleaned up."""
+    lake = filled(spark, sf, "region", "r_regionkey", 2)
+    lake.delete("region", "r_regionkey % 2 = 1")
+    lake.expire_snapshots(versions=[2, 3, 4])
+    young = len(lake.cleanup_old_files(older_than=86_400_000_000))
+    lake.set_option("delete_older_than", 86_400_000_000)
+    kept = len(lake.cleanup_old_files())
+    listed = len(lake.cleanup_old_files(dry_run=True, cleanup_all=True))
+    lake.cleanup_old_files(cleanup_all=True)
+    return lake.table("region").select("r_regionkey", F.lit(young).alias("young"), F.lit(kept).alias("kept"), F.lit(listed).alias("listed"))
+
+
+@query("SELECT * FROM (VALUES ('merged', 0, 3), ('expired', 1, 2)) t(step, cleaned, listed)")
+def cleaned_rows(spark, sf):
+    """Cleaned sources of a merge stay listed while versions see them; what no version sees loses its metadata."""
+    lake = filled(spark, sf, "region", "r_regionkey", 1)
+    lake.insert("region", read(spark, sf, "region").withColumn("r_regionkey", F.lit(99)).coalesce(1))
+    lake.delete("region", "r_regionkey = 99")
+    rows = read(spark, sf, "nation").select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name")).coalesce(1)
+    lake.insert("region", rows)
+    steps = [{"step": "merged", "cleaned": len(lake.cleanup_old_files()), "listed": len(lake.all_files("region").collect())}]
+    lake.expire_snapshots(versions=[3, 4])
+    steps.append({"step": "expired", "cleaned": len(lake.cleanup_old_files()), "listed": len(lake.all_files("region").collect())})
+    return literal_rows(spark, steps, "step string, cleaned int, listed int")
+
+
+@query("SELECT o_orderkey, 2 AS merged FROM orders WHERE o_orderkey % 3 <> 0 OR o_custkey % 5 <> 0")
+def merge_preconditions(spark, sf):
+    """A file that lost rows is no source of a merge; the two others are."""
+    lake, df = new_lake(spark), read(spark, sf, "orders")
+    lake.set_option("data_inlining_row_limit", 0)
+    lake.create_table("orders", df.schema)
+    for i in range(3):
+        lake.insert("orders", df.where(F.pmod("o_orderkey", F.lit(3)) == i).coalesce(1))
+    lake.delete("orders", "o_orderkey % 3 = 0 AND o_custkey % 5 = 0")
+    merged = lake.merge_adjacent("orders")
+    return lake.table("orders").select("o_orderkey", F.lit(merged).alias("merged"))
+
+
+@query("SELECT count(*) AS n_rows, min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) FILTER (WHERE o_orderstatus IS NULL) AS nulls FROM orders")
+def replacement_stats(spark, sf):
+    lake = filled(spark, sf)
+    lake.merge_adjacent("orders")
+    stats = lake.file_stats("orders")
+    key = stats.where("column = 'o_orderkey'").agg(F.sum("rows").alias("n_rows"), F.min(F.col("min").cast("bigint")).alias("low"), F.max(F.col("max").cast("bigint")).alias("high"))
+    return key.crossJoin(stats.where("column = 'o_orderstatus'").agg(F.sum("nulls").alias("nulls")))
+
+
+@query("SELECT 'before' AS \"at\", o_orderkey, 1 AS n FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT 'now', o_orderkey, 1 FROM orders")
+def backfill_no_dupes(spark, sf):
+    """Merged files stand in for their cleaned sources in old versions, which see no row twice and none of later ones."""
+    lake = filled(spark, sf)
+    lake.merge_adjacent("orders")
+    lake.cleanup_old_files()
+    then, now = (lake.table("orders", version=v).groupBy("o_orderkey").agg(F.count("*").alias("n")) for v in (4, None))
+    return then.select(F.lit("before").alias("at"), "o_orderkey", "n").unionByName(now.select(F.lit("now").alias("at"), "o_orderkey", "n"))
+
+
+@query("SELECT r_regionkey, r_name, 0 AS gone FROM region UNION ALL SELECT n_nationkey + 100, n_name, 0 FROM nation")
+def orphan_in_flight(spark, sf):
+    """The files of a transaction that is still open are no orphans."""
+    lake = filled(spark, sf, "region", "r_regionkey", 1)
+    tx = lake.transaction()
+    tx.insert("region", read(spark, sf, "nation").select((F.col("n_nationkey") + 100).alias("r_regionkey"), F.col("n_name").alias("r_name")))
+    gone = len(lake.delete_orphaned_files())
+    tx.commit()
+    return lake.table("region").select("r_regionkey", "r_name", F.lit(gone).alias("gone"))
+
+
 @query("SELECT r_regionkey, 1 AS listed, 0 AS after FROM region WHERE r_regionkey % 2 = 0")
 def cleanup_old_files(spark, sf):
     lake = filled(spark, sf, "region", "r_regionkey", 2)
@@ -567,10 +748,10 @@ def checkpoint(spark, sf):
     return lake.table("nation").select("n_nationkey")
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey")
+@query("SELECT o_orderkey, o_custkey, 0 AS disorder FROM orders")
 def sorted_write(spark, sf):
     lake = filled(spark, sf, sort_by=[("o_custkey", "desc"), "o_orderkey"])
-    return lake.table("orders").select("o_orderkey", "o_custkey")
+    return with_disorder(lake, "orders", F.col("o_custkey").desc(), "o_orderkey").select("o_orderkey", "o_custkey", "disorder")
 
 
 # --- statistics
@@ -618,11 +799,66 @@ def geo_stats(spark, sf):
     return lake.table("shapes").agg(*geometry_stats(F.col("geom"))).select("xmin", "xmax", "ymin", "ymax", F.array_join("types", ",").alias("types"))
 
 
-@query("SELECT 'orders' AS table_name, count(*) AS record_count, (SELECT count(*) FROM orders WHERE o_custkey % 7 = 0) AS delete_count FROM orders WHERE o_custkey % 7 <> 0")
+@query("SELECT 'orders' AS table_name, count(*) AS record_count, (SELECT count(*) FROM orders WHERE o_custkey % 7 = 0) AS delete_count, true AS sized FROM orders WHERE o_custkey % 7 <> 0")
 def table_info(spark, sf):
     lake = filled(spark, sf)
     lake.delete("orders", "o_custkey % 7 = 0")
-    return lake.table_info().select("table_name", "record_count", "delete_count")
+    lake.flush_deletes("orders")
+    return lake.table_info().select("table_name", "record_count", "delete_count", ((F.col("delete_bytes") > 0) & (F.col("file_bytes") > 0)).alias("sized"))
+
+
+@query("""SELECT 'n_nationkey' AS "column", false AS contains_null, '0' AS min, '500' AS max UNION ALL SELECT 'n_name', true, min(n_name), max(n_name) FROM nation""")
+def mixed_column_stats(spark, sf):
+    """Of files and inlined rows together: the greatest key and the only null are inlined."""
+    lake = new_lake(spark)
+    lake.set_option("data_inlining_row_limit", 0)
+    lake.create_table_as("nation", read(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name"))
+    lake.set_option("data_inlining_row_limit", 10)
+    lake.insert("nation", literal_rows(spark, [{"n_nationkey": 500}], "n_nationkey bigint"))
+    return lake.column_stats("nation")
+
+
+@query("SELECT CASE WHEN e THEN 'exact' ELSE 'conservative' END AS mode, CAST(min(n_nationkey) AS VARCHAR) AS min, CAST(max(n_nationkey) AS VARCHAR) AS max FROM nation, (VALUES (true), (false)) t(e) WHERE NOT e OR n_nationkey < 20 GROUP BY e")
+def inline_stats_modes(spark, sf):
+    """Exact statistics see the visible inlined rows; conservative ones also those that were deleted."""
+    lake = filled(spark, sf, "nation", "n_nationkey", 2, inline=100)
+    lake.delete("nation", "n_nationkey >= 20")
+    modes = [lake.column_stats("nation", exact).where("column = 'n_nationkey'").select(F.lit(mode).alias("mode"), "min", "max") for mode, exact in (("exact", True), ("conservative", False))]
+    return modes[0].unionByName(modes[1])
+
+
+@query("SELECT 'n_nationkey' AS \"column\", count(*) AS n_rows, count(n_nationkey) AS not_null, CAST(min(n_nationkey) AS VARCHAR) AS min, CAST(max(n_nationkey) AS VARCHAR) AS max FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'n_name', count(*), count(CASE WHEN n_nationkey % 2 = 0 THEN n_name END), min(CASE WHEN n_nationkey % 2 = 0 THEN n_name END), max(CASE WHEN n_nationkey % 2 = 0 THEN n_name END) FROM nation WHERE n_regionkey <> 1")
+def inline_aggregate(spark, sf):
+    lake = new_lake(spark)
+    lake.set_option("data_inlining_row_limit", 100)
+    lake.create_table_as("nation", read(spark, sf, "nation").where("n_regionkey <> 1").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("n_name")))
+    return lake.inline_aggregate("nation").withColumnRenamed("rows", "n_rows")
+
+
+@query("SELECT CAST(min(c_nationkey) AS DOUBLE) AS xmin, CAST(max(c_nationkey + 1) AS DOUBLE) AS xmax, CAST(-max(c_custkey) AS DOUBLE) AS ymin, CAST(max(c_custkey) AS DOUBLE) AS ymax, 'linestring,point' AS types FROM customer")
+def geometry_file_stats(spark, sf):
+    """The box and types come from what the files' metadata keeps, and from an inlined row."""
+    lake, rows = new_lake(spark), read(spark, sf, "customer")
+    point = F.concat(F.lit("POINT ("), "c_nationkey", F.lit(" "), "c_custkey", F.lit(")"))
+    line = F.concat(F.lit("LINESTRING ("), "c_nationkey", F.lit(" "), "c_custkey", F.lit(", "), F.col("c_nationkey") + 1, F.lit(" -"), "c_custkey", F.lit(")"))
+    lake.set_option("data_inlining_row_limit", 0)
+    lake.create_table("shapes", "c_custkey BIGINT, geom STRING", geometry=["geom"])
+    shapes = rows.select("c_custkey", F.explode(F.array(point, line)).alias("geom"))
+    lake.insert("shapes", shapes.where("c_custkey > 1"))
+    lake.set_option("data_inlining_row_limit", 10)
+    lake.insert("shapes", shapes.where("c_custkey = 1"))
+    return lake.geometry_stats("shapes", "geom").select("xmin", "xmax", "ymin", "ymax", F.array_join("types", ",").alias("types"))
+
+
+@query("SELECT 'then' AS \"at\", md5('first') AS digest UNION ALL SELECT 'now', md5(repeat('second', 20000))")
+def deletion_payload(spark, sf):
+    """An opaque payload of a table, in pieces, as each version has it."""
+    lake = filled(spark, sf, "region", "r_regionkey", 1)
+    lake.put_payload("region", "file-1/row-7", b"first")
+    then = lake.version()
+    lake.put_payload("region", "file-1/row-7", b"second" * 20000)
+    rows = [{"at": "then", "x": lake.payload("region", "file-1/row-7", then).decode()}, {"at": "now", "x": lake.payload("region", "file-1/row-7").decode()}]
+    return literal_rows(spark, rows, "at string, x string").select("at", F.md5("x").alias("digest"))
 
 
 # --- catalog objects
@@ -810,3 +1046,183 @@ def stream_append(spark, sf):
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf}/events*.parquet")
     append_stream(stream, lake, "events", f"{lake.store.root}/stream", "events").awaitTermination()
     return lake.table("events").select("event_id", "event_type")
+
+
+# --- concurrent commits
+
+
+def raced(lake: Lake, mine: Callable, theirs: Callable) -> str:
+    """What becomes of a transaction when another commit comes between its changes and its own commit."""
+    tx = lake.transaction()
+    mine(tx)
+    theirs(Lake(lake.spark, lake.store.root))
+    try:
+        tx.commit()
+        return "committed"
+    except ConflictError:
+        return "conflict"
+
+
+def outcomes(spark: SparkSession, found: dict[str, str], extra: dict[str, int] | None = None) -> DataFrame:
+    rows = [{"what": k, "outcome": v} for k, v in found.items()] + [{"what": k, "outcome": str(v)} for k, v in (extra or {}).items()]
+    return literal_rows(spark, rows, "what string, outcome string")
+
+
+def regions(spark: SparkSession, sf: str, batches: int = 2) -> tuple[Lake, DataFrame]:
+    return filled(spark, sf, "region", "r_regionkey", batches), read(spark, sf, "region")
+
+
+@query("""SELECT * FROM (VALUES ('append, append', 'committed'), ('append, rows deleted', 'committed'), ('append, file removed', 'conflict'), ('delete, append', 'conflict'), ('delete, delete', 'conflict'), ('rewrite, append', 'conflict')) t(what, outcome)
+UNION ALL SELECT 'rows', CAST(6 * count(*) - 5 AS VARCHAR) FROM region""")
+def conflict_matrix(spark, sf):
+    """Appends conflict with removed files only; deletes and rewrites with any change of the table's rows."""
+    lake, rows = regions(spark, sf, 5)
+    append, late = lambda x: x.insert("region", rows), rows.withColumn("r_regionkey", F.col("r_regionkey") + 100).coalesce(1)
+    found = {"append, append": raced(lake, append, append)}
+    found["append, rows deleted"] = raced(lake, append, lambda x: [x.insert("region", late), x.delete("region", "r_regionkey = 101")])
+    found["append, file removed"] = raced(lake, append, lambda x: x.delete("region", "r_regionkey >= 100"))
+    found["delete, append"] = raced(lake, lambda x: x.delete("region", "r_regionkey = 1"), append)
+    found["delete, delete"] = raced(lake, lambda x: x.delete("region", "r_regionkey = 1"), lambda x: x.delete("region", "r_regionkey = 3"))
+    found["rewrite, append"] = raced(lake, lambda x: x.merge_adjacent("region"), append)
+    return outcomes(spark, found, {"rows": lake.count("region")})
+
+
+@query("SELECT * FROM (VALUES ('other table', 'committed'), ('before the base', 'committed')) t(what, outcome)")
+def conflict_scope(spark, sf):
+    """Only commits after the one that a transaction began at, and only to its own tables, count."""
+    lake, rows = regions(spark, sf)
+    lake.create_table_as("other", rows)
+    found = {"other table": raced(lake, lambda x: x.delete("region", "r_regionkey = 1"), lambda x: x.delete("other", "r_regionkey = 1"))}
+    lake.delete("region", "r_regionkey = 2")
+    found["before the base"] = raced(lake, lambda x: x.delete("region", "r_regionkey = 3"), lambda x: x.version())
+    return outcomes(spark, found)
+
+
+@query("SELECT * FROM (VALUES ('append, comment', 'committed'), ('append, column added', 'conflict'), ('append, renamed', 'conflict'), ('comment, comment', 'conflict'), ('append, dropped', 'conflict')) t(what, outcome)")
+def conflict_schema(spark, sf):
+    """A dropped table or a change that readers see fails what others do to it; a comment only another change of metadata."""
+    lake, rows = regions(spark, sf)
+    append = lambda x: x.insert("region", rows)
+    found = {"append, comment": raced(lake, append, lambda x: x.comment_table("region", "one"))}
+    found["append, column added"] = raced(lake, append, lambda x: x.add_column("region", "more", "int"))
+    found["append, renamed"] = raced(lake, append, lambda x: x.rename_table("region", "area"))
+    found["comment, comment"] = raced(lake, lambda x: x.comment_table("area", "two"), lambda x: x.comment_table("area", "three"))
+    found["append, dropped"] = raced(lake, lambda x: x.insert("area", rows), lambda x: x.drop_table("area"))
+    return outcomes(spark, found)
+
+
+@query("SELECT * FROM (VALUES ('same order', 'same version'), ('other order', 'conflict')) t(what, outcome) UNION ALL SELECT 'rows', CAST(2 * count(*) AS VARCHAR) FROM region")
+def commit_once(spark, sf):
+    """One transaction id and order commit once; another order under the id is an error."""
+    lake, rows = regions(spark, sf)
+    versions = []
+    for _ in range(2):
+        with lake.transaction(txn="load-7", order=3) as tx:
+            tx.insert("region", rows)
+        versions.append(tx.version)
+    tx = lake.transaction(txn="load-7", order=4)
+    tx.insert("region", rows)
+    try:
+        tx.commit()
+        other = "committed"
+    except ConflictError:
+        other = "conflict"
+    return outcomes(spark, {"same order": "same version" if versions[0] == versions[1] else "twice", "other order": other}, {"rows": lake.count("region")})
+
+
+@query("SELECT * FROM (VALUES ('merge, source removed', 'conflict'), ('rewrite, rows deleted', 'conflict'), ('merge, other table', 'committed')) t(what, outcome) UNION ALL SELECT 'rows', CAST(count(*) - 2 AS VARCHAR) FROM region")
+def conflict_compaction(spark, sf):
+    """Compaction fails if a source went or, when rows are rewritten, lost rows meanwhile."""
+    lake, rows = regions(spark, sf, 5)
+    lake.create_table_as("other", rows)
+    found = {"merge, source removed": raced(lake, lambda x: x.merge_adjacent("region"), lambda x: x.delete("region", "r_regionkey = 1"))}
+    lake.merge_adjacent("region")
+    lake.delete("region", "r_regionkey = 2")
+    found["rewrite, rows deleted"] = raced(lake, lambda x: x.rewrite_deleted("region", threshold=0.0), lambda x: x.delete("region", "r_regionkey = 3"))
+    lake.insert("region", rows.where("r_regionkey = 3"))
+    found["merge, other table"] = raced(lake, lambda x: x.merge_adjacent("region"), lambda x: x.insert("other", rows))
+    return outcomes(spark, found, {"rows": lake.count("region")})
+
+
+@query("SELECT count(*) AS n, count(*) AS distinct_ids, true AS reuse_rejected FROM orders")
+def row_ids_unique(spark, sf):
+    """Appends that raced have ids of their own, and a commit that brings an id again is refused."""
+    lake, rows = new_lake(spark), read(spark, sf, "orders").select("o_orderkey")
+    lake.set_option("data_inlining_row_limit", 0)
+    lake.create_table("orders", "o_orderkey BIGINT")
+    raced(lake, lambda x: x.insert("orders", rows.where("o_orderkey % 2 = 0")), lambda x: x.insert("orders", rows.where("o_orderkey % 2 = 1")))
+    table, file = lake.state().table("orders"), lake.files("orders")[0]
+    again = [{"op": "inline_again", "table": table.id, "types": {"1": "bigint"}, "rows": [[table.next_row, "{}"]]}, {"op": "file", "file": {k: getattr(file, k) for k in ("name", "path", "table", "rows", "bytes", "types")}}]
+    refused = 0
+    for action in again:
+        try:
+            lake.state().apply({"version": lake.version() + 1, "actions": [action]})
+        except ConflictError:
+            refused += 1
+    ids = lake.table("orders", lineage=True).agg(F.count("*").alias("n"), F.count_distinct("_row_id").alias("distinct_ids"))
+    return ids.withColumn("reuse_rejected", F.lit(refused == len(again)))
+
+
+@query("SELECT * FROM (VALUES ('delete, file replaced', 'conflict'), ('update, rows deleted', 'conflict'), ('append, partitions changed', 'conflict')) t(what, outcome) UNION ALL SELECT 'rows', CAST(count(*) - 1 AS VARCHAR) FROM region")
+def conflict_target(spark, sf):
+    """Files that are no longer current, rows that were deleted meanwhile and partitioning that changed fail a transaction."""
+    lake, rows = regions(spark, sf, 5)
+    found = {"delete, file replaced": raced(lake, lambda x: x.delete("region", "r_regionkey = 1"), lambda x: x.merge_adjacent("region"))}
+    found["update, rows deleted"] = raced(lake, lambda x: x.update("region", {"r_name": "'x'"}, "r_regionkey = 2"), lambda x: x.delete("region", "r_regionkey = 2"))
+    found["append, partitions changed"] = raced(lake, lambda x: x.insert("region", rows), lambda x: x.set_partitioning("region", ["r_name"]))
+    return outcomes(spark, found, {"rows": lake.count("region")})
+
+
+@query("SELECT * FROM (VALUES ('schema, schema', 'conflict'), ('table, schema dropped', 'conflict'), ('drop schema, table made', 'conflict'), ('rename, name taken', 'conflict'), ('view, table of its name', 'conflict'), ('comment on view, dropped', 'conflict'), ('macro, macro', 'conflict'), ('schema, other schema', 'committed')) t(what, outcome)")
+def conflict_names(spark, sf):
+    """Of two that make, rename or drop objects of one name, or a schema and its tables, one commits."""
+    lake, rows = regions(spark, sf)
+    one = {"params": [("x", "INT", None)], "returns": "INT", "body": "x"}
+    lake.create_schema("s")
+    lake.create_schema("t")
+    lake.create_view("v", "SELECT 1 AS x")
+    found = {"schema, schema": raced(lake, lambda x: x.create_schema("a"), lambda x: x.create_schema("a"))}
+    found["table, schema dropped"] = raced(lake, lambda x: x.create_table("s.t", "x INT"), lambda x: x.drop_schema("s"))
+    found["drop schema, table made"] = raced(lake, lambda x: x.drop_schema("t"), lambda x: x.create_table("t.x", "x INT"))
+    found["rename, name taken"] = raced(lake, lambda x: x.rename_table("region", "area"), lambda x: x.create_table("area", "x INT"))
+    found["view, table of its name"] = raced(lake, lambda x: x.create_view("w", "SELECT 1 AS x"), lambda x: x.create_table("w", "x INT"))
+    found["comment on view, dropped"] = raced(lake, lambda x: x.comment_view("v", "mine"), lambda x: x.drop_view("v"))
+    found["macro, macro"] = raced(lake, lambda x: x.create_macro("m", [one]), lambda x: x.create_macro("m", [one]))
+    found["schema, other schema"] = raced(lake, lambda x: x.create_schema("b"), lambda x: x.create_schema("c"))
+    return outcomes(spark, found)
+
+
+@query("SELECT * FROM (VALUES ('written, then failed', 'committed'), ('failed, then written', 'committed')) t(what, outcome) UNION ALL SELECT 'rows', CAST(3 * count(*) AS VARCHAR) FROM region")
+def commit_retry(spark, sf):
+    """A commit whose write fails is found in the log if it arrived, and written again if it did not; never twice."""
+    lake, rows = regions(spark, sf)
+    put, found = lake.store.put_new, {}
+    for what, arrives in (("written, then failed", True), ("failed, then written", False)):
+        failures = [1]
+
+        def flaky(name: str, data: bytes, arrives=arrives, failures=failures) -> bool:
+            if failures:
+                failures.pop()
+                if arrives:
+                    put(name, data)
+                raise OSError("connection lost")
+            return put(name, data)
+
+        lake.store.put_new = flaky
+        lake.insert("region", rows)
+        lake.store.put_new = put
+        found[what] = "committed"
+    return outcomes(spark, found, {"rows": lake.count("region")})
+
+
+@query("SELECT count(*) AS n, CAST(6 AS BIGINT) AS versions FROM region, range(7)")
+def commit_fence(spark, sf):
+    """Six writers at once: each version of the log is written by one, and no rows are lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    lake, rows = regions(spark, sf, 1)
+    before = lake.version()
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda _: Lake(spark, lake.store.root).insert("region", rows), range(6)))
+    distinct = len(set(versions)) if lake.version() - before == 6 else -1
+    return lake.table("region").agg(F.count("*").alias("n")).withColumn("versions", F.lit(distinct).cast("bigint"))
