@@ -5,11 +5,17 @@ The predicted vector of the next word is a sum over the two words before it of t
 product with a word's vector plus the word's bias is the word's score. Words of like frequency form bins; a bin has a score
 of the same kind, and scores are normalised over the bins and over the words of a bin by batched matrix products. The
 vocabulary is the words of the corpus above a count, the end of a text, and one class for all other words, among which a
-word has its add-one share of that class."""
+word has its add-one share of that class.
+
+Texts are dealt to shards by a hash of themselves, and shards to rounds. The shards of a round all start from the same
+weights, each learns from its texts in a fixed order, and their changes are averaged before the next round; so the model
+depends on the texts alone, not on how a table is partitioned, stored or sorted.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +24,38 @@ from pyspark.sql import functions as F
 
 from .common import blocks, checkpointed, lower_bytes, partitions, table, text_bytes, word_hashes, words
 from .language_id import held_out
-from .repeats import answers, dealt, in_chunks
+from .repeats import answers, dealt, parts_of
 
 END = np.uint64(0x5851F42D4C957F2D)
-MAIL = "p long, chunk long, kind string, data binary"
+#: Text whose distinct words one part counts and answers for.
+PART_BYTES = 256 << 20
+
+
+@dataclass(frozen=True)
+class Training:
+    """How a model is made. Words that occur `often` times, or as often as the root of the number of training tokens divided
+    by `share`, are in the vocabulary, which so grows with the root of the corpus and is what the driver holds; in any case
+    the `least` most frequent words are. A shard has `shard` bytes of text, or more if there were over `shards` of them, up
+    to `large`."""
+
+    often: int = 20
+    share: int = 50
+    least: int = 1021
+    size: int = 16
+    noise: int = 64
+    batch: int = 1024
+    rate: float = 0.2
+    rounds: int = 4
+    shard: int = 16 << 20
+    shards: int = 1 << 12
+    large: int = 256 << 20
+
+    def threshold(self, tokens: int) -> int:
+        return max(self.often, int(tokens**0.5 / self.share))
+
+    def shards_of(self, size: int) -> int:
+        """Shards of a round, for texts of so many bytes."""
+        return max(1, round(size / self.rounds / max(self.shard, min(self.large, size // self.shards))))
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +85,13 @@ def summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def corpus_counts(training: DataFrame, parts: int, most: int = 1 << 20) -> DataFrame:
-    """(n, kinds, words, counts): sums over one part of the words of all training texts, and its words for the
-    vocabulary. Words are counted within a task before they are sent; a task holds up to `most` of them at a time."""
+    """(p, n, kinds, words, counts): of each part the tokens and the distinct words of all training texts, and these words
+    with their counts as packed numbers, sorted. Words are counted within a task before they are sent; a task holds up to
+    `most` of them at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            order, cuts = dealt(values, parts)
+            order, cuts = dealt(parts_of(values, parts), parts)
             data = [values[order[a:b]].tobytes() + counts[order[a:b]].tobytes() for _, a, b in cuts]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cuts], pa.int64()), pa.array(data, pa.binary())], names=["p", "data"])
 
@@ -76,31 +111,45 @@ def corpus_counts(training: DataFrame, parts: int, most: int = 1 << 20) -> DataF
         values = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in data])
         counts = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in data])
         values, counts = summed(values, counts)
-        top = Model.chosen(values, counts)
-        return pa.table({"n": [int(counts.sum())], "kinds": [len(values)], "words": pa.array([values[top].view(np.int64)]), "counts": pa.array([counts[top]])})
+        return pa.table({"p": [rows.column("p")[0].as_py()], "n": [int(counts.sum())], "kinds": [len(values)], "words": pa.array([values.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    return training.mapInArrow(count, "p long, data binary").groupBy("p").applyInArrow(add, "p long, n long, kinds long, words binary, counts binary")
+
+
+def frequent(counted: DataFrame, threshold: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of the words that occur `threshold` times, or of the `least` most frequent ones if fewer do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, c in zip(batch.column(0), batch.column(1), strict=True):
+                values, counts = np.frombuffer(w.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64)
+                top = chosen(values, counts, threshold, least)
+                yield pa.RecordBatch.from_arrays([pa.array(values[top].view(np.int64)), pa.array(counts[top])], names=["word", "n"])
 
-    return training.mapInArrow(count, "p long, data binary").groupBy("p").applyInArrow(add, "n long, kinds long, words array<long>, counts array<long>")
+    found = counted.select("words", "counts").mapInArrow(run, "word long, n long").toArrow()
+    values, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
+    values = values.view(np.uint64)
+    top = chosen(values, counts, threshold, least)
+    top = top[np.argsort(values[top])]
+    return values[top], counts[top]
+
+
+def chosen(values: np.ndarray, counts: np.ndarray, threshold: int, least: int) -> np.ndarray:
+    """Places of the words of a vocabulary, the most frequent first."""
+    order = np.lexsort((values, -counts))
+    return order[: max(least, int((counts >= threshold).sum()))]
 
 
 class Model:
     """Log-bilinear model over classes: 0 to k - 1 are words, k is any other word; k + 1 stands before a text."""
 
-    #: Words that occur so often are in the vocabulary, and so many of the most frequent ones however rare they are.
-    OFTEN, LEAST = 20, 1021
-    SIZE, CONTEXT = 16, 2
-    NOISE, BATCH, RATE = 48, 4096, 0.1
-
-    @classmethod
-    def chosen(cls, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Places of the words of the vocabulary, the most frequent first."""
-        order = np.lexsort((values, -counts))
-        return order[: max(cls.LEAST, int((counts >= cls.OFTEN).sum()))]
+    CONTEXT = 2
 
-    def __init__(self, vocabulary: np.ndarray, share: np.ndarray, seed: int = 3):
+    def __init__(self, vocabulary: np.ndarray, share: np.ndarray, how: Training, seed: int = 3):
         """vocabulary: sorted hashes of the words; share: of each class in the training tokens."""
-        self.vocabulary, self.k = vocabulary, len(vocabulary)
+        self.vocabulary, self.k, self.how = vocabulary, len(vocabulary), how
         rng = np.random.default_rng(seed)
-        scale = 0.3 / np.sqrt(self.SIZE)
+        scale = 0.3 / np.sqrt(how.size)
         self.share = np.maximum(share, 1e-9)
         # bins of equal sums of roots of shares, from the most frequent on: the cheapest for scoring
         self.order = np.argsort(-self.share, kind="stable")
@@ -112,13 +161,15 @@ class Model:
         self.bin_share = np.bincount(self.bin, self.share)
         self.tables = None
         self.weights = {
-            "before": rng.normal(0, scale, (self.k + 2, self.SIZE)).astype(np.float32),
-            "next": rng.normal(0, scale, (self.k + 1, self.SIZE)).astype(np.float32),
-            "place": np.ones((self.CONTEXT, self.SIZE), np.float32),
-            "bias": np.log(self.share).astype(np.float32),
-            "bins": rng.normal(0, scale, (len(self.bin_share), self.SIZE)).astype(np.float32),
-            "bin_bias": np.log(self.bin_share).astype(np.float32),
+            "before": rng.normal(0, scale, (self.k + 2, how.size)).astype(np.float32),
+            "next": rng.normal(0, scale, (self.k + 1, how.size)).astype(np.float32),
+            "place": np.ones((self.CONTEXT, how.size), np.float32),
+            "bias": np.log(self.share).astype(np.float32)[:, None],
+            "bins": rng.normal(0, scale, (len(self.bin_share), how.size)).astype(np.float32),
+            "bin_bias": np.log(self.bin_share).astype(np.float32)[:, None],
         }
+        #: Sums of squares of what has changed each row, which slow its next changes.
+        self.past = {name: np.full(len(w), 1e-4, np.float32) for name, w in self.weights.items()}
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.vocabulary, hashes)
@@ -136,7 +187,7 @@ class Model:
         two[second] = self.k + 1
         return one, two
 
-    def step(self, state: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> None:
         """One batch of noise-contrastive estimation of words and of bins; its noise words serve all of its tokens. Only
         the rows that it meets are changed."""
         w, n = self.weights, len(target)
@@ -144,41 +195,40 @@ class Model:
         predicted = vectors[0] * w["place"][0] + vectors[1] * w["place"][1]
         back, changes = 0, []
         for name, bias, share, cumulative, real_row in (("next", "bias", self.share, self.cumulative, target), ("bins", "bin_bias", self.bin_share, self.bin_cumulative, self.bin[target])):
-            noise = np.searchsorted(cumulative, rng.random(self.NOISE)).clip(0, len(share) - 1)
-            chance = lambda rows, share=share: np.log(share[rows] * self.NOISE).astype(np.float32)
-            real = (predicted * w[name][real_row]).sum(axis=1) + w[bias][real_row] - chance(real_row)
-            false = predicted @ w[name][noise].T + (w[bias][noise] - chance(noise))
+            noise = np.searchsorted(cumulative, rng.random(self.how.noise)).clip(0, len(share) - 1)
+            chance = lambda rows, share=share: np.log(share[rows] * self.how.noise).astype(np.float32)
+            real = (predicted * w[name][real_row]).sum(axis=1) + w[bias][real_row, 0] - chance(real_row)
+            false = predicted @ w[name][noise].T + (w[bias][noise, 0] - chance(noise))
             up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
             down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
             back = back + up[:, None] * w[name][real_row] + down @ w[name][noise]
             grad = np.concatenate([up[:, None] * predicted, down.T @ predicted])
             rows, times, grad = summed_rows(np.concatenate([real_row, noise]), np.column_stack([grad, np.concatenate([up, down.sum(axis=0)])]))
-            changes += [(name, rows, times, grad[:, :-1]), (bias, rows, times, grad[:, -1])]
+            changes += [(name, rows, times, grad[:, :-1]), (bias, rows, times, grad[:, -1:])]
         place = np.stack([(back * vectors[0]).sum(axis=0), (back * vectors[1]).sum(axis=0)])
         changes.append(("place", np.arange(self.CONTEXT), n, place))
         changes.append(("before", *summed_rows(np.concatenate([one, two]), np.concatenate([back * w["place"][0], back * w["place"][1]]))))
         for name, rows, times, g in changes:
             g = g / n
-            past = state[name][rows] + g * g
-            state[name][rows] = past
-            w[name][rows] += self.RATE * g / (np.sqrt(past) + 1e-6)
+            past = self.past[name][rows] + (g * g).mean(axis=1)
+            self.past[name][rows] = past
+            w[name][rows] += self.how.rate * g / np.sqrt(past)[:, None]
             if name in self.met:
                 self.met[name][rows] += times
 
     def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], seed: int) -> int:
-        """Learns from (hashes, first) of blocks of texts; the number of tokens."""
+        """Learns from (classes, first) of blocks of texts; the number of tokens."""
         self.cumulative = np.cumsum(self.share / self.share.sum())
         self.bin_cumulative = np.cumsum(self.bin_share / self.bin_share.sum())
         self.met = {"before": np.zeros(self.k + 2, np.float32), "next": np.zeros(self.k + 1, np.float32)}
         self.tables = None
-        state, rng, n = {k: np.full_like(v, 1e-4) for k, v in self.weights.items()}, np.random.default_rng(seed), 0
-        for hashes, first in batches:
-            target = self.classes(hashes)
+        rng, n = np.random.default_rng(seed), 0
+        for target, first in batches:
             one, two = self.contexts(target, first)
             order = rng.permutation(len(target))
-            for i in range(0, len(order), self.BATCH):
-                some = order[i : i + self.BATCH]
-                self.step(state, one[some], two[some], target[some], rng)
+            for i in range(0, len(order), self.how.batch):
+                some = order[i : i + self.how.batch]
+                self.step(one[some], two[some], target[some], rng)
             n += len(target)
         return n
 
@@ -187,7 +237,7 @@ class Model:
         w = self.weights
         rank = np.empty(self.k + 1, np.int64)
         rank[self.order] = np.arange(self.k + 1)
-        self.tables = (w["before"] * w["place"][0], w["before"] * w["place"][1], w["next"][self.order], w["bias"][self.order], rank)
+        self.tables = (w["before"] * w["place"][0], w["before"] * w["place"][1], w["next"][self.order], w["bias"][self.order, 0], rank)
 
     def score(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, most: int = 1 << 20) -> np.ndarray:
         """log10 probability of each token's class: of its bin, normalised once for each pair of words before, and of the
@@ -201,7 +251,7 @@ class Model:
         cuts = np.searchsorted(which[order], np.arange(0, len(pairs) + step, step))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             some = pairs[i * step : (i + 1) * step]
-            scores = (near[some // (self.k + 2)] + far[some % (self.k + 2)]) @ w["bins"].T + w["bin_bias"]
+            scores = (near[some // (self.k + 2)] + far[some % (self.k + 2)]) @ w["bins"].T + w["bin_bias"][:, 0]
             tokens = order[a:b]
             row = which[tokens] - i * step
             out[tokens] = scores[row, own[tokens]] - log_sums(scores)[row]
@@ -231,158 +281,239 @@ def summed_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows[begin], np.diff(np.append(begin, len(rows))), np.add.reduceat(values[order], begin)
 
 
-def train_model(training: DataFrame, vocabulary: np.ndarray, share: np.ndarray) -> Model:
-    """A model of all training texts: every task starts from the same weights, learns from its own texts, and the tasks'
-    changes are averaged, those of a word by how often the tasks met it, the rest by their numbers of tokens. A task sends
-    the words that it met only, so that what is sent grows with the texts and not with tasks times words. The common start
-    is made of the corpus-wide counts alone."""
-    model = Model(vocabulary, share)
-    if not model.k:
-        return model
-    sent, parts, k, width = training.sparkSession.sparkContext.broadcast(model), partitions(training.sparkSession), model.k, Model.SIZE + 1
-    rest = ("place", "bins", "bin_bias")
-    row = np.dtype([("row", np.int32), ("met", np.float32), ("change", np.float32, width)])
+#: Weights whose rows the shards meet in part, and those that every shard changes.
+ROWS, REST = ("before", "next"), ("place", "bins", "bin_bias")
+
+
+def changed(model: Model, start: Model) -> np.ndarray:
+    """What a shard sends of the rows that it met: row, how often, change of weights and bias, sums of squares of both."""
+    size, k = model.how.size, model.k
+    out = np.zeros(sum(int((model.met[n] > 0).sum()) for n in ROWS), row_type(size))
+    at = 0
+    for n, base in zip(ROWS, (0, k + 2), strict=True):
+        rows = np.flatnonzero(model.met[n])
+        part = out[at : at + len(rows)]
+        part["row"], part["met"] = rows + base, model.met[n][rows]
+        part["change"][:, :size] = model.weights[n][rows] - start.weights[n][rows]
+        part["past"][:, 0] = model.past[n][rows] - start.past[n][rows]
+        if n == "next":
+            part["change"][:, size:] = model.weights["bias"][rows] - start.weights["bias"][rows]
+            part["past"][:, 1] = model.past["bias"][rows] - start.past["bias"][rows]
+        at += len(rows)
+    return out
+
+
+def row_type(size: int) -> np.dtype:
+    return np.dtype([("row", np.int32), ("met", np.float32), ("change", np.float32, size + 1), ("past", np.float32, 2)])
+
+
+def apply(model: Model, found: np.ndarray) -> None:
+    """Adds averaged changes (see changed) to a model."""
+    size, k = model.how.size, model.k
+    for n, base, end in (("before", 0, k + 2), ("next", k + 2, 2 * k + 3)):
+        x = found[(found["row"] >= base) & (found["row"] < end)]
+        rows = x["row"] - base
+        model.weights[n][rows] += x["change"][:, :size]
+        model.past[n][rows] += x["past"][:, 0]
+        if n == "next":
+            model.weights["bias"][rows] += x["change"][:, size:]
+            model.past["bias"][rows] += x["past"][:, 1]
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encoded(rows: DataFrame, model, shards: int) -> DataFrame:
+    """(shard, mark, classes) of texts (mark, text): the class of each token, dealt by the text's mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for batch in batches:
+            for i, hashes, first in token_blocks(batch.column(1)):
+                kinds = own.classes(hashes).astype(np.uint16 if own.k < 1 << 16 else np.uint32)
+                data = [kinds[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                mark = batch.column(0).slice(i, len(data))
+                shard = pa.array((mark.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(16)) % np.uint64(shards)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([shard, mark, pa.array(data, pa.binary())], names=["shard", "mark", "classes"])
+
+    return rows.mapInArrow(run, "shard long, mark long, classes binary")
+
+
+def learner(sent, turn: int, parts: int):
+    """Learns from one shard in one turn, from the weights sent; what it changed, in groups of rows."""
+
+    def learn(rows: pa.Table) -> pa.Table:
         import copy
 
-        from pyspark import TaskContext
-
-        start = sent.value.weights
-        own = copy.deepcopy(sent.value)
-        part = TaskContext.get().partitionId()
-        n = own.train(((h, f) for batch in batches for _, h, f in token_blocks(batch.column(0))), 100 + part)
-        if not n:
-            return
-        before, after = np.flatnonzero(own.met["before"]), np.flatnonzero(own.met["next"])
-        found = np.zeros(len(before) + len(after), row)
-        found["row"] = np.concatenate([before, after + k + 2])
-        found["met"] = np.concatenate([own.met["before"][before], own.met["next"][after]])
-        found["change"][: len(before), :-1] = own.weights["before"][before] - start["before"][before]
-        found["change"][len(before) :, :-1] = own.weights["next"][after] - start["next"][after]
-        found["change"][len(before) :, -1] = own.weights["bias"][after] - start["bias"][after]
-        flat = np.concatenate([(own.weights[x] - start[x]).ravel().astype(np.float64) for x in rest]) * n
-        groups = [found[found["row"] % parts == g].tobytes() for g in range(parts)]
-        yield pa.RecordBatch.from_arrays([pa.array([*range(parts), -1 - part % 16], pa.int64()), pa.array([0] * parts + [n], pa.int64()), pa.array([*groups, flat.tobytes()], pa.binary())], names=["g", "n", "data"])
+        start, shard = sent.value, rows.column("shard")[0].as_py()
+        own = copy.deepcopy(start)
+        order = sorted(range(rows.num_rows), key=lambda i, m=rows.column("mark").to_pylist(): m[i])
+        kind = np.uint16 if own.k < 1 << 16 else np.uint32
+        texts = [np.frombuffer(x.as_buffer(), kind) for x in rows.column("classes").combine_chunks().take(pa.array(order))]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, first[-1], 1 << 18)), len(texts)))
+        blocks_ = ((np.concatenate(texts[a:b]).astype(np.int64), first[a : b + 1] - first[a]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        n = own.train(blocks_, 1000 * turn + shard)
+        found = changed(own, start)
+        flat = np.concatenate([x for name in REST for x in ((own.weights[name] - start.weights[name]).ravel(), own.past[name] - start.past[name])]).astype(np.float64) * n
+        data = [found[found["row"] % parts == g].tobytes() for g in range(parts)] + [flat.tobytes()]
+        g = [*range(parts), -1 - shard % 16]
+        return pa.table({"g": pa.array(g, pa.int64()), "shard": pa.array([shard] * len(g), pa.int64()), "n": pa.array([0] * parts + [n], pa.int64()), "data": pa.array(data, pa.binary())})
+
+    return learn
+
+
+def adder(size: int):
+    """Averages what shards changed of one group of rows."""
 
     def add(rows: pa.Table) -> pa.Table:
-        g, data = rows.column("g")[0].as_py(), [x.as_buffer() for x in rows.column("data")]
+        g = rows.column("g")[0].as_py()
+        order = np.argsort(rows.column("shard").to_numpy(), kind="stable")
+        data = [rows.column("data")[i].as_buffer() for i in order.tolist()]
         if g < 0:
             out = sum(np.frombuffer(x, np.float64) for x in data)
         else:
-            found = np.concatenate([np.frombuffer(x, row) for x in data])
-            at, _, sums = summed_rows(found["row"], np.column_stack([found["change"] * found["met"][:, None], found["met"]])) if len(found) else (found["row"], 0, np.zeros((0, width + 1)))
-            out = np.zeros(len(at), row)
-            out["row"], out["met"], out["change"] = at, sums[:, -1], sums[:, :-1] / sums[:, -1:]
+            found = np.concatenate([np.frombuffer(x, row_type(size)) for x in data])
+            values = np.column_stack([found["change"] * found["met"][:, None], found["past"] * found["met"][:, None], found["met"]])
+            at, _, sums = summed_rows(found["row"], values) if len(found) else (found["row"], 0, values)
+            out = np.zeros(len(at), row_type(size))
+            out["row"], out["met"] = at, sums[:, -1]
+            out["change"], out["past"] = sums[:, : size + 1] / sums[:, -1:], sums[:, size + 1 : -1] / sums[:, -1:]
         return pa.table({"g": pa.array([g], pa.int64()), "n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "data": pa.array([out.tobytes()], pa.binary())})
 
-    found = training.mapInArrow(learn, "g long, n long, data binary").groupBy("g").applyInArrow(add, "g long, n long, data binary").toArrow().to_pylist()
-    n, w = sum(r["n"] for r in found), model.weights
-    flat = sum(np.frombuffer(r["data"], np.float64) for r in found if r["g"] < 0) / max(n, 1)
-    for name in rest if n else ():
-        w[name] += flat[: w[name].size].reshape(w[name].shape).astype(np.float32)
-        flat = flat[w[name].size :]
-    for r in found:
-        if r["g"] >= 0:
-            x = np.frombuffer(r["data"], row)
-            first, after = x[x["row"] < k + 2], x[x["row"] >= k + 2]
-            w["before"][first["row"]] += first["change"][:, :-1]
-            w["next"][after["row"] - k - 2] += after["change"][:, :-1]
-            w["bias"][after["row"] - k - 2] += after["change"][:, -1]
+    return add
+
+
+def train_model(training: DataFrame, vocabulary: np.ndarray, share: np.ndarray, size: int, how: Training) -> Model:
+    """A model of all training texts (text), of `size` bytes. Each text is learned from once, in its round and shard. A word's
+    changes are averaged by how often the shards met it, the rest by their numbers of tokens. A shard sends the words that it
+    met only. The common start is made of the corpus-wide counts alone."""
+    model = Model(vocabulary, share, how)
+    if not model.k:
+        return model
+    spark = training.sparkSession
+    marked = training.select(F.xxhash64("text").alias("mark"), "text")
+    shards, parts = how.shards_of(size), partitions(spark)
+    for r in range(how.rounds):
+        sent = spark.sparkContext.broadcast(model)
+
+        mine = marked.where(F.pmod("mark", F.lit(how.rounds)) == r)
+        changes = encoded(mine, sent, shards).groupBy("shard").applyInArrow(learner(sent, r, parts), "g long, shard long, n long, data binary")
+        found = sorted(changes.groupBy("g").applyInArrow(adder(how.size), "g long, n long, data binary").toArrow().to_pylist(), key=lambda x: x["g"])
+        n = sum(x["n"] for x in found)
+        if n:
+            flat = sum(np.frombuffer(x["data"], np.float64) for x in found if x["g"] < 0) / n
+            for name in REST:
+                for held in (model.weights[name], model.past[name]):
+                    held += flat[: held.size].reshape(held.shape).astype(np.float32)
+                    flat = flat[held.size :]
+            for x in found:
+                if x["g"] >= 0:
+                    apply(model, np.frombuffer(x["data"], row_type(how.size)))
     return model
 
 
-def score_texts(docs: DataFrame, training: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def learned_model(training: DataFrame, counted: DataFrame, size: int, how: Training) -> tuple[Model, np.ndarray, int, int]:
+    """(model, counts of its vocabulary, tokens, distinct tokens) of training texts and their corpus_counts."""
+    total, kinds = (int(x or 0) for x in counted.agg(F.sum("n"), F.sum("kinds")).first())
+    vocabulary, counts = frequent(counted, how.threshold(total), how.least)
+    share = np.append(counts, total - int(counts.sum()) + 1) / (total + 1)
+    return train_model(training, vocabulary, share, size, how), counts, total, kinds
+
+
+SCORED = "key long, held_out boolean, n_tokens long, n_known long, base double, score double, rare binary"
+MAIL = "p long, chunk long, data binary"
+
+
+def scored(docs: DataFrame, model, counts, total: int) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, base, score, rare) of docs (key, text, learn): sums over the words of the vocabulary,
+    and the hashes of all other words. Each row is scored where it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = model.value, counts.value
+        plain = np.log10(np.append(held, 0) + 1.0)
+        for batch in batches:
+            for i, hashes, first in token_blocks(batch.column(1), 1 << 19):
+                begin, n = first[:-1], np.diff(first)
+                kinds_of = own.classes(hashes)
+                inside = kinds_of < own.k
+                score = own.score(*own.contexts(kinds_of, first), kinds_of) if total else np.zeros(len(hashes))
+                places = np.concatenate([[0], np.cumsum(~inside)])[first]
+                rare = hashes[~inside]
+                data = [rare[a:b].tobytes() for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+                sums = [np.add.reduceat(x, begin) for x in (inside.astype(np.int64), np.where(inside, plain[kinds_of], 0.0), score)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(i, len(n)), pa.array([not x for x in batch.column(2).slice(i, len(n)).to_pylist()], pa.bool_()), pa.array(n.astype(np.int64)),
+                    pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), pa.array(data, pa.binary()),
+                ], names=["key", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+
+    return docs.mapInArrow(run, SCORED)
+
+
+def score_texts(docs: DataFrame, training: str, key: str = "doc_id", text: str = "text", how: Training = Training()) -> DataFrame:
     """One row for each row of docs: `key`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`.
 
     training names a boolean column: only rows where it is true are learned from, a null counts as false; held_out is its
     opposite. Tokens are words, A-Z lower-cased, that end at white space, and one end for each text; null is an empty
-    text. n_known counts tokens that training texts hold. base_score sums log10((c + 1) / (N + V + 1)) over the tokens; c,
-    N and V are the token's count, all tokens and distinct tokens of the training texts. score is the model's log10
-    probability of the whole text, its end included. Without training texts both are the base's 0 for each token.
-
-    Counts cover all training texts. A word's count comes back to a chunk of documents by one exchange of the chunk's
-    distinct words, so a frequent word is sent once from a chunk. What the driver sees is the vocabulary, two sums and the
-    averaged weights; the vocabulary grows with the corpus, as it holds every word that occurs Model.OFTEN times.
+    text, and an empty table gives no rows. n_known counts tokens that training texts hold. base_score sums
+    log10((c + 1) / (N + V + 1)) over the tokens; c, N and V are the token's count, all tokens and distinct tokens of the
+    training texts. score is the model's log10 probability of the whole text, its end included. Without training texts
+    base_score is the same sum of zeros and score is 0. Equal texts, repeated rows included, have equal scores; so have equal
+    tables, however they are partitioned. Other columns are left out. A text of any length is scored in one task, block by
+    block, but must fit its memory some dozen times.
+
+    Counts cover all training texts. Texts are scored where they are read; only the hashes of words outside the vocabulary
+    are exchanged for their counts, once for each chunk of rows, so that no word is hotter than there are chunks. What the
+    driver sees is the vocabulary (see Training), sums and the averaged weights.
     """
     spark = docs.sparkSession
-    learned = docs.where(F.col(training)).select(F.col(text).alias("text"))
-    parts = partitions(spark)
-    sums = checkpointed(corpus_counts(learned, parts))
-    total, kinds = (int(x or 0) for x in sums.agg(F.sum("n"), F.sum("kinds")).first())
-    top = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select("w.words", "w.counts").toArrow()
-    vocabulary, counts = (top.column(c).to_numpy().astype(t) for c, t in (("words", np.int64), ("counts", np.int64)))
-    vocabulary = vocabulary.view(np.uint64)
-    top = Model.chosen(vocabulary, counts)
-    top = top[np.argsort(vocabulary[top])]
-    vocabulary, counts = vocabulary[top], counts[top]
-    other, other_kinds = total - int(counts.sum()), kinds - len(top)
-    share = np.append(counts, other + 1) / (total + 1)
-    model = train_model(learned, vocabulary, share)
-    sent = spark.sparkContext.broadcast(model)
-    rows, parts = in_chunks(docs, key, text, [training])
-    flag = f"c_{training}"
-    groups = rows.groupBy("chunk")
-
-    def texts(rows: pa.Table) -> tuple[pa.Table, list[tuple[int, np.ndarray, np.ndarray]]]:
-        rows = rows.combine_chunks()
-        return rows, list(token_blocks(rows.column("text"), 1 << 19))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(training), F.lit(False)).alias("learn"))
+    learned = rows.where("learn").select("text")
+    sizes = {r["learn"]: r["size"] or 0 for r in rows.groupBy("learn").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    parts = max(partitions(spark), -(-sum(sizes.values()) // PART_BYTES))
+    counted = checkpointed(corpus_counts(learned, parts))
+    model, counts, total, kinds = learned_model(learned, counted, sizes.get(True, 0), how)
+    other, other_kinds = total - int(counts.sum()), kinds - len(counts)
+    found = scored(rows, spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(counts), total)
+    chunks = max(partitions(spark), -(-sum(sizes.values()) // (16 << 20)))
+    found = found.withColumn("chunk", F.pmod(F.xxhash64("key", "rare"), F.lit(chunks)))
+    groups = found.groupBy("chunk")
+
+    def rare_words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, number of each row's) of a chunk, in a fixed order of its rows."""
+        column = rows.column("rare").combine_chunks()
+        n = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 8
+        return np.frombuffer(b"".join(x.as_py() for x in column), np.uint64), n
 
     def ask(rows: pa.Table) -> pa.Table:
-        chunk = rows.column("chunk")[0].as_py()
-        rows, found = texts(rows)
-        learn = np.array(rows.column(flag).fill_null(False).to_pylist(), bool)
-        values, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for i, hashes, first in found:
-            weight = np.repeat(learn[i : i + len(first) - 1], np.diff(first)).astype(np.float64)
-            distinct, which = np.unique(hashes, return_inverse=True)
-            more = np.bincount(which, weight, len(distinct)).astype(np.int64)
-            values, n = summed(np.concatenate([values, distinct]), np.concatenate([n, more]))
-        order, cuts = dealt(values, parts)
-        data = [values[order[a:b]].tobytes() + n[order[a:b]].astype(np.uint32).tobytes() for _, a, b in cuts]
-        return pa.table({"p": pa.array([p for p, _, _ in cuts], pa.int64()), "chunk": pa.array([chunk] * len(cuts), pa.int64()), "kind": pa.array(["words"] * len(cuts)), "data": pa.array(data, pa.binary())})
-
-    def answer(rows: pa.Table) -> pa.Table:
-        data = [x.as_py() for x in rows.column("data")]
-        sizes = [len(x) // 12 for x in data]
-        values = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(data, sizes, strict=True)])
-        n = np.concatenate([np.frombuffer(x, np.uint32, k, 8 * k) for x, k in zip(data, sizes, strict=True)])
-        distinct, which = np.unique(values, return_inverse=True)
-        count = np.bincount(which, n, len(distinct)).astype(np.int64)[which]
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        back = [count[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table({"p": rows.column("p"), "chunk": rows.column("chunk"), "kind": rows.column("kind"), "data": pa.array(back, pa.binary())})
+        values = np.unique(rare_words(rows)[0])
+        order, cuts = dealt(parts_of(values, parts), parts)
+        p, data = [p for p, _, _ in cuts], [values[order[a:b]].tobytes() for _, a, b in cuts]
+        return pa.table({"p": pa.array(p, pa.int64()), "chunk": pa.array([rows.column("chunk")[0].as_py()] * len(p), pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        values = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in held.column("words")]) if held.num_rows else np.zeros(0, np.uint64)
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in held.column("counts")]) if held.num_rows else np.zeros(0, np.int64)
+        out = []
+        for x in asked.column("data"):
+            want = np.frombuffer(x.as_buffer(), np.uint64)
+            at = np.minimum(np.searchsorted(values, want), max(len(values) - 1, 0))
+            out.append((np.where(values[at] == want, n[at], 0) if len(values) else np.zeros(len(want))).astype(np.uint32).tobytes())
+        return pa.table({"p": asked.column("p"), "chunk": asked.column("chunk"), "data": pa.array(out, pa.binary())})
 
     def judge(rows: pa.Table, got: pa.Table) -> pa.Table:
-        model = sent.value
-        data = dict(zip(got.column("p").to_pylist(), got.column("data").to_pylist(), strict=True))
-        rows, found = texts(rows)
-        values = np.zeros(0, np.uint64)
-        for _, hashes, _ in found:
-            values = np.union1d(values, hashes)
-        count = answers(values, parts, data, np.int64)[:, 0]
-        out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for _, hashes, first in found:
-            c = count[np.searchsorted(values, hashes)]
-            add = np.log10(c + 1.0)
-            begin, n = first[:-1], np.diff(first)
-            out["n_tokens"].append(n)
-            out["n_known"].append(np.add.reduceat(c > 0, begin, dtype=np.int64))
-            out["base_score"].append(np.add.reduceat(add, begin) - n * np.log10(total + kinds + 1.0))
-            if total:
-                target = model.classes(hashes)
-                within = np.where(target == model.k, add - np.log10(other + other_kinds + 1.0), 0.0)
-                out["score"].append(np.add.reduceat(model.score(*model.contexts(target, first), target) + within, begin))
-            else:
-                out["score"].append(np.zeros(len(n)))
-        joined = {k: np.concatenate(v) for k, v in out.items()}
-        learn = rows.column(flag).fill_null(False)
-        columns = {"key": rows.column("key"), "held_out": pa.array([not x for x in learn.to_pylist()], pa.bool_())}
-        return pa.table(columns | {"n_tokens": pa.array(joined["n_tokens"].astype(np.int64)), "n_known": pa.array(joined["n_known"]), "base_score": pa.array(joined["base_score"]), "score": pa.array(joined["score"])})
-
-    replies = groups.applyInArrow(ask, MAIL).groupBy("p").applyInArrow(answer, MAIL)
-    scored = groups.cogroup(replies.groupBy("chunk")).applyInArrow(judge, "key long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        hashes, n = rare_words(rows)
+        values, which = np.unique(hashes, return_inverse=True)
+        count = answers(parts_of(values, parts), parts, dict(zip(got.column("p").to_pylist(), got.column("data").to_pylist(), strict=True)), np.uint32)[which]
+        owner = np.repeat(np.arange(len(n)), n)
+        logs = np.log10(count + 1.0)
+        sums = np.bincount(owner, logs, len(n))
+        known = rows.column("n_known").to_numpy() + np.bincount(owner, count > 0, len(n)).astype(np.int64)
+        tokens_ = rows.column("n_tokens").to_numpy()
+        base = rows.column("base").to_numpy() + sums - tokens_ * np.log10(total + kinds + 1.0)
+        score = rows.column("score").to_numpy() + (sums - n * np.log10(other + other_kinds + 1.0) if total else 0.0)
+        return pa.table({"key": rows.column("key"), "held_out": rows.column("held_out"), "n_tokens": tokens_, "n_known": known, "base_score": base, "score": score})
+
+    replies = groups.applyInArrow(ask, MAIL).groupBy("p").cogroup(counted.select("p", "words", "counts").groupBy("p")).applyInArrow(answer, MAIL)
+    done = groups.cogroup(replies.groupBy("chunk")).applyInArrow(judge, "key long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
