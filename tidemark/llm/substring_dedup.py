@@ -1,7 +1,15 @@
-"""Removal of long repeated word runs. Windows of `length` words that several documents have are found by an exchange of
-their fingerprints, in place of a De Bruijn graph, whose nodes and degrees are not built; windows that follow each other and
-whose sources do too are compacted to spans; and a join with the documents of their source coordinates confirms each span
-on the words there."""
+"""Removal of long repeated word runs by a De Bruijn graph of the corpus: runs of `length` words are edges between the runs
+of one word less at their ends. Edges that several documents have are kept, each with its source, the least document and
+place that has it; edges that follow each other through a node of one edge in and one out, and whose sources follow each
+other too, are compacted to one path; what a document shares with a path is a span, and each span is verified at its source.
+
+1. Chunks of documents learn which of their windows can repeat (see repeats); only these become edges, as rows.
+2. Edges, the degrees of their nodes and the paths are Spark aggregations and joins over those rows. A chunk sends an edge
+   once, so that copies add no rows within a chunk and no edge has more rows than there are chunks.
+3. A join brings the sources back to the chunks, which put their windows together to spans.
+4. Distinct spans go to the chunk of their source. There the words must have the span's fingerprints, 128 bits by hashes of
+   their own; what does not hold is not removed.
+"""
 
 from __future__ import annotations
 
@@ -9,29 +17,124 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .repeats import Chunk, Setting, repeated, runs
-from .suffix_dedup import covered
+from .repeats import Chunk, Exchange, Setting, candidates, covered, grouped, runs, second_prints, spread
+
+EDGE = "edge long, check long, tail long, head long, key long, last long, chunk long, place int"
+SOURCE = ("place", "key", "from_chunk", "from_place", "path")
+SPAN = ("from_chunk", "from_place", "windows", "print", "check")
+
+
+def edges_of(exchange: Exchange) -> DataFrame:
+    """(edge, check, tail, head, key, last, chunk, place): the distinct windows of each chunk that can repeat: two hashes of
+    their words, the nodes at their ends, the least and greatest keys that have them, and the place of the first."""
+
+    parts = exchange.parts
+
+    def send(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
+        begin, count, _, _ = candidates(chunk, got, parts)
+        starts, width = spread(begin, count), np.int64(chunk.setting.width)
+        one = np.ones(len(starts), np.int64)
+        edge, tail, head = chunk.hashes(starts, one * width), chunk.hashes(starts, one * (width - 1)), chunk.hashes(starts + 1, one * (width - 1))
+        check = second_prints(chunk).of(starts, starts + width) if len(starts) else edge
+        keys = chunk.key_at(starts) if len(starts) else starts
+        which, first = grouped(edge, check, keys)
+        last = keys[first]
+        np.maximum.at(last, which, keys)
+        columns = {"edge": edge[first], "check": check[first], "tail": tail[first], "head": head[first], "key": keys[first], "last": last, "chunk": np.full(len(first), own)}
+        return pa.table({k: pa.array(v.view(np.int64)) for k, v in columns.items()} | {"place": pa.array(starts[first].astype(np.int32))})
+
+    return exchange.met(exchange.minimizers(), send, EDGE)
+
+
+def paths_of(edges: DataFrame) -> DataFrame:
+    """(edge, check, key, chunk, place, path) of the edges that several documents have: their sources, and the place at which
+    the path that they are compacted to begins there."""
+    source = F.min(F.struct("key", "chunk", "place")).alias("source")
+    shared = edges.groupBy("edge", "check").agg(source, F.max("last").alias("last"), F.min("tail").alias("tail"), F.min("head").alias("head")).where("source.key < last")
+    ends = F.array(F.struct(F.col("tail").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("head").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = shared.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    single = nodes.where("out = 1 and into = 1").select(F.col("node").alias("tail"), F.lit(True).alias("single"))
+    placed = shared.join(single, "tail", "left").select("edge", "check", "source.*", "single")
+    along = Window.partitionBy("chunk").orderBy("place")
+    follows = F.col("single") & (F.lag("place").over(along) == F.col("place") - 1)
+    begun = placed.withColumn("begin", F.when(F.coalesce(follows, F.lit(False)), None).otherwise(F.col("place")))
+    return begun.withColumn("path", F.last("begin", ignorenulls=True).over(along)).drop("begin", "single")
+
+
+def repeated_spans(exchange: Exchange, finish, schema) -> DataFrame:
+    """finish(chunk, starts of the verified windows that also start in a document with a smaller key) of each chunk."""
+    edges = edges_of(exchange).repartition("edge", "check")
+    found = paths_of(edges).select("edge", "check", F.col("key").alias("from_key"), F.col("chunk").alias("from_chunk"), F.col("place").alias("from_place"), "path")
+    sources = edges.join(found, ["edge", "check"]).where("from_key < last").select("chunk", "place", F.col("from_key").alias("key"), "from_chunk", "from_place", "path")
+
+    def spans(chunk: Chunk, got: pa.Table) -> tuple[np.ndarray, ...]:
+        """(starts, windows, number of their distinct span, the distinct spans): the windows whose source has a smaller key, in
+        runs of one path whose sources follow each other."""
+        place, key, where, at, path = (got.column(c).to_numpy().astype(np.int64) for c in SOURCE)
+        known = chunk.windows_like(place)
+        starts, which = known
+        early = key[which] < chunk.key_at(starts) if len(starts) else np.zeros(0, bool)
+        starts, which = starts[early], which[early]
+        where, at, path = where[which], at[which], path[which]
+        cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(where) != 0) | (np.diff(at) != 1) | (np.diff(path) != 0)) + 1
+        begin = np.concatenate([[0], cut]).astype(np.int64) if len(starts) else starts
+        count = np.diff(np.append(begin, len(starts)))
+        first, ends = starts[begin], starts[begin] + count + chunk.setting.width - 1
+        prints = (chunk.hashes(first, ends - first), second_prints(chunk).of(first, ends)) if len(first) else (first, first)
+        distinct = np.stack([where[begin], at[begin], count, *(p.view(np.int64) for p in prints)], axis=1)
+        distinct, number = np.unique(distinct, axis=0, return_inverse=True)
+        return first, count, number.ravel(), distinct
+
+    def ask(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
+        distinct = spans(chunk, got)[3]
+        return pa.table({c: pa.array(distinct[:, i]) for i, c in enumerate(SPAN)} | {"chunk": pa.array(np.full(len(distinct), own))})
+
+    def verify(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
+        place, windows, one, two = (got.column(c).to_numpy() for c in SPAN[1:])
+        ends = place + windows + chunk.setting.width - 1
+        order = np.argsort(place, kind="stable")
+        holds = np.zeros(len(place), bool)
+        if len(place):
+            order = order[ends[order] <= chunk.n]
+            first = chunk.hashes(place[order], (ends - place)[order]).view(np.int64) == one[order]
+            holds[order] = first & (second_prints(chunk).of(place[order], ends[order]).view(np.int64) == two[order])
+        return got.select(["chunk", *SPAN[1:]]).filter(pa.array(holds)).rename_columns(SPAN)
 
+    def end(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
+        kind = got.column("verified").to_numpy(zero_copy_only=False)
+        first, count, number, distinct = spans(chunk, got.filter(pa.array(~kind)))
+        held = got.filter(pa.array(kind))
+        held = np.stack([held.column(c).to_numpy() for c in SPAN], axis=1)
+        both, which = np.unique(np.concatenate([distinct, held]), axis=0, return_inverse=True)
+        good = np.zeros(len(both), bool)
+        good[which.ravel()[len(distinct) :]] = True
+        good = good[which.ravel()[: len(distinct)]][number] if len(first) else np.zeros(0, bool)
+        return finish(chunk, spread(first[good], count[good]))
 
-def edges(chunk: Chunk, starts: np.ndarray) -> np.ndarray:
-    """The edge of each window: equal numbers for equal word sequences."""
-    return chunk.windows(starts).view(np.int64)
+    asked = exchange.met(sources, ask, ", ".join(f"{c} long" for c in SPAN) + ", chunk long")
+    once = asked.select(*SPAN).distinct().withColumnRenamed("from_chunk", "chunk")
+    verified = exchange.met(once, verify, ", ".join(f"{c} long" for c in SPAN))
+    back = asked.join(verified, list(SPAN)).withColumn("verified", F.lit(True))
+    mail = sources.withColumn("verified", F.lit(False)).unionByName(back, allowMissingColumns=True)
+    return exchange.met(mail, end, schema)
 
 
 def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, kept: str = "kept", spaced: bool = False) -> DataFrame:
     """docs without `text`, with `n_words`, `n_removed`, `spans` (array of (start, length), the maximal removed runs of
     words) and `kept`, the words that stay.
 
-    Words end at white space and are otherwise unchanged; a null text has none. A word goes if it is in a run of `length`
-    words of its document that also starts in a document with a smaller key, judged on the input. `kept` joins the words
-    by one blank or, if spaced is set, is the text without what was removed: a text that loses nothing stays as it is,
-    null included. Rows with equal keys are not smaller than each other, and a row with a null key neither loses words
-    nor takes any. Other columns and repeated rows stay; columns of the result's names are replaced.
+    Words end at white space and are otherwise unchanged; a null or empty text has none, and an empty table gives no rows. A
+    word goes if it is in a run of `length` words of its document that also starts in a document with a smaller key, judged
+    on the input; of equal runs the smallest key's stays. `kept` joins the words by one blank or, if spaced is set, is the
+    text without what was removed: a text that loses nothing stays as it is, null included. Rows with equal keys are not
+    smaller than each other, and a row with a null key neither loses words nor takes any. Other columns and repeated rows
+    stay; columns of the result's names are replaced. A text of any length is one row of one chunk, whose task holds some
+    dozen times its bytes.
     """
     new = ["n_words", "n_removed", "spans", kept]
     carry = [f for f in docs.schema.fields if f.name not in (key, text, *new)]
@@ -65,8 +168,8 @@ def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "tex
         T.StructField("key", T.LongType()), *(T.StructField(f"c_{f.name}", f.dataType) for f in carry), T.StructField("n_words", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField("left", T.StringType()),
     ])
-    setting = Setting("words", length, max(1, length // 2 - 1), 0, True)
-    out = repeated(docs, key, text, [f.name for f in carry], setting, edges, finish, schema)
+    exchange = Exchange(docs, key, text, [f.name for f in carry], Setting("words", length, max(1, length // 2 - 1)))
+    out = repeated_spans(exchange, finish, schema)
     return out.select(F.col("key").alias(key), *(F.col(f"`c_{f.name}`").alias(f.name) for f in carry), "n_words", "n_removed", "spans", F.col("left").alias(kept))
 
 
