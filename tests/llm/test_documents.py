@@ -10,7 +10,7 @@ from tidemark.llm import minhash
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import contamination, op3_decontaminate
 from tidemark.llm.language_id import identify_language, learn_profiles, op9_language_id
-from tidemark.llm.lm import Model, op8_lm_score, score_texts
+from tidemark.llm.lm import Model, Training, corpus_counts, frequent, learned_model, op8_lm_score, score_texts, tokens
 from tidemark.llm.minhash import near_duplicates, op6_minhash
 
 SF = "/root/testdata/sf0.001"
@@ -191,10 +191,10 @@ def test_model_is_a_distribution():
     import numpy as np
 
     vocabulary = np.sort(np.random.default_rng(0).integers(1, 2**62, 20).astype(np.uint64))
-    model = Model(vocabulary, np.full(21, 1 / 21))
+    model = Model(vocabulary, np.full(21, 1 / 21), Training())
     rng = np.random.default_rng(1)
     text = vocabulary[np.cumsum(rng.integers(0, 2, 20_000)) % 20]
-    model.train(iter([(text, np.array([0, len(text)]))]), 1)
+    model.train(iter([(model.classes(text), np.array([0, len(text)]))]), 1)
     model.ready()
     one, two = np.repeat(np.arange(22), 21), np.repeat(np.arange(22)[::-1], 21)
     total = (10 ** model.score(one, two, np.tile(np.arange(21), 22))).reshape(22, 21).sum(axis=1)
@@ -205,11 +205,10 @@ def test_model_is_a_distribution():
 
 def test_vocabulary_grows_with_the_corpus(spark):
     """Two thousand words that each come twice before one of their own: more than a constant vocabulary held."""
-    from tidemark.llm.lm import corpus_counts
-
     text = " ".join(f"w{i}" for i in range(2000))
     rows = spark.createDataFrame([(text,)] * 40, "text string")
-    assert sum(len(r["words"]) for r in corpus_counts(rows, 1).collect()) == 2001
+    assert len(frequent(corpus_counts(rows, 1), Training().threshold(40 * 2001), 1021)[0]) == 2001
+    assert [Training().threshold(n) for n in (10**4, 10**8, 10**12)] == [20, 200, 20_000]
     docs = spark.createDataFrame([(i, text, True) for i in range(40)] + [(100, "w7 w1500 w1501 w1502", False), (101, "w7 w1500 w300 w1100", False)], "doc_id long, text string, learn boolean")
     got = {r["doc_id"]: r for r in score_texts(docs, "learn").collect()}
     assert got[100]["score"] > got[101]["score"] and abs(got[100]["base_score"] - got[101]["base_score"]) < 1e-6
@@ -224,10 +223,63 @@ def test_the_driver_learns_from_no_texts(spark, monkeypatch):
     rows = spark.createDataFrame([("a b a b",)] * 400, "text string").repartition(4)
     _, hashes, _ = next(token_blocks(rows.toArrow().column(0)))
     words = np.unique(hashes)
-    model = train_model(rows, words, np.array([0.4, 0.4, 0.19, 0.01]))
+    model = train_model(rows, words, np.array([0.4, 0.4, 0.19, 0.01]), 2800, Training())
     assert not np.allclose(model.weights["place"], 1)
 
 
-def test_scores_beat_the_base_on_held_out_texts(spark):
-    out = op8_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert out[0] > out[1]
+def test_scores_do_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").withColumn("learn", F.col("doc_id") % 5 > 0)
+    one, eight = ({r["doc_id"]: r["score"] for r in score_texts(docs.repartition(n, *by), "learn").collect()} for n, by in ((1, []), (8, ["text"])))
+    assert one.keys() == eight.keys() and all(abs(one[k] - eight[k]) < 1e-6 * max(1, abs(one[k])) for k in one)
+
+
+def test_scores_are_sums_of_log_softmaxes(spark):
+    """Each token's probability by the definition: its bin among the bins, it among its bin, and its share of other words."""
+    import numpy as np
+
+    how = Training(often=5, least=60, rounds=2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("length(text) < 3000").withColumn("learn", F.col("doc_id") % 4 > 0)
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, "learn", how=how).collect()}
+    learned = docs.where("learn").select("text")
+    size = learned.agg(F.sum(F.octet_length("text"))).first()[0]
+    model, counts, total, kinds = learned_model(learned, corpus_counts(learned, 3), size, how)
+    w, all_counts = model.weights, Counter()
+    rows = docs.collect()
+    hashes = {r["doc_id"]: tokens(raw := np.frombuffer((r["text"] or "").encode(), np.uint8), np.array([0, len(raw)]))[0].tolist() for r in rows}
+    for r in rows:
+        all_counts.update(hashes[r["doc_id"]] if r["learn"] else [])
+    place = {int(v): i for i, v in enumerate(model.vocabulary)}
+    other = total - int(counts.sum()) + kinds - len(counts)
+    checked = 0
+    for r in rows[:60]:
+        one = two = model.k + 1
+        score = 0.0
+        for h in hashes[r["doc_id"]]:
+            c = place.get(h, model.k)
+            predicted = w["before"][one].astype(float) * w["place"][0] + w["before"][two].astype(float) * w["place"][1]
+            bins = w["bins"] @ predicted + w["bin_bias"][:, 0]
+            inside = np.flatnonzero(model.bin == model.bin[c])
+            words_ = w["next"][inside] @ predicted + w["bias"][inside, 0]
+            own = w["next"][c] @ predicted + w["bias"][c, 0]
+            score += (bins[model.bin[c]] - np.log(np.exp(bins).sum()) + own - np.log(np.exp(words_).sum())) / np.log(10)
+            score += math.log10((all_counts[h] + 1) / (other + 1)) if c == model.k else 0
+            one, two = c, one
+        assert abs(score - got[r["doc_id"]]) < 1e-4 * max(1, abs(score))
+        checked += 1
+    assert checked == 60
+
+
+def test_scores_beat_unigrams_and_bigrams_on_held_out_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    out = op8_lm_score(spark, sf).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    texts = {True: [], False: []}
+    for r in rows:
+        texts[zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2].append([*plain_words(r["text"]), None])
+    pairs = Counter(p for t in texts[False] for p in zip(["<s>", *t], t))
+    before = Counter(a for t in texts[False] for a in ["<s>", *t[:-1]])
+    kinds = len({w for t in texts[False] for w in t})
+    bigram = sum(math.log10((pairs[p] + 1) / (before[p[0]] + kinds + 1)) for t in texts[True] for p in zip(["<s>", *t], t))
+    assert out[0] > bigram
+    assert (out[0] - out[1]) / out[2] > 0.03

@@ -66,26 +66,22 @@ def found(df, column):
     return {k: sorted(v, key=repr) for k, v in out.items()}
 
 
-@pytest.fixture(params=[(4 << 20, 1024), (700, 1024), (700, 3)])
+@pytest.fixture(params=[(4 << 20, 256), (700, 256), (700, 1)])
 def chunks(request, monkeypatch):
-    """One chunk for all, many small ones, and more of them than quantiles of the key."""
+    """One chunk for all, many small ones, and with minimizers hot as soon as two chunks have them."""
     monkeypatch.setattr(repeats, "CHUNK_BYTES", request.param[0])
-    monkeypatch.setattr(repeats, "MOST_KNOTS", request.param[1])
+    monkeypatch.setattr(repeats, "LARGE_CHUNK", request.param[0])
+    monkeypatch.setattr(repeats, "HOT", request.param[1])
     return request.param
 
 
-def test_chunks_are_ranges_of_the_key(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK_BYTES", 100)
-    monkeypatch.setattr(repeats, "MOST_KNOTS", 4)
-    rows = [(i * i * 10**12, "x" * 40) for i in range(100)] + [(None, "y"), (5, None), (5, "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r["key"], r["chunk"]) for r in repeats.in_chunks(df, "doc_id", "text", [])[0].collect()]
-    real = sorted((k, c) for k, c in got if k is not None)
-    assert [c for _, c in real] == sorted(c for _, c in real)
-    assert 15 < len({c for _, c in real})
-    assert all(c > real[-1][1] for k, c in got if k is None)
-    most = max(sum(c == x for _, c in real) for x in {c for _, c in real})
-    assert most < 30
+@pytest.mark.parametrize("rows", [[(i, f"{i} " + "x" * 40) for i in range(200)], [(7, f"{i} " + "x" * 40) for i in range(200)], [(None, f"{i} " + "x" * 40) for i in range(200)], [(i * i * 10**12, "x" * 40) for i in range(200)]])
+def test_chunks_have_like_sizes(spark, monkeypatch, rows):
+    """Whatever the keys: different, all the same, all null, or clustered."""
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(repeats, "LARGE_CHUNK", 400)
+    sizes = [r["count"] for r in repeats.in_chunks(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", [])[0].groupBy("chunk").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 30
 
 
 def repeated_rows():
@@ -137,8 +133,8 @@ def test_bounds_are_common_prefixes(text, length):
     assert bounds(text[order - 1], length).tolist() == [i == 0 or turned[i] != turned[i - 1] for i in range(len(turned))]
 
 
-def test_several_transforms_of_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
+def test_several_transforms_of_a_part(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 200)
     rows = repeated_rows()
     out = remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), length=30)
     assert found(out, "kept") == expected(rows, 30, as_bytes, bytes)

@@ -1,20 +1,11 @@
-"""Which windows of a document also start in a document with a smaller key: the engine below suffix-array and substring
-deduplication, over bytes or words.
-
-Documents are dealt into chunks, ranges of the key of a few MB each, so that a smaller chunk holds smaller keys. Chunks
-never exchange texts, only packed arrays of fingerprints:
-
-1. Every window has a minimizer, the least hash of the shorter runs in it. Equal windows have equal minimizers, so a
-   window can only repeat if its minimizer is met twice. Chunks send their distinct minimizers and learn which others have.
-2. A chunk decides its own repeats among the windows left (see `labels`, which each operator gives).
-3. Neighbouring windows with one minimizer form a segment. Chunks send their distinct segments; a segment that a smaller
-   chunk has too is a repeat as a whole. A minimizer with but one segment is settled.
-4. Where segments of one minimizer differ, chunks send their windows, and learn which a smaller chunk has.
-5. On request, spans of repeats are traced to their source: consecutive windows with consecutive sources become one span,
-   which goes to the chunk of its source with a second fingerprint, and only spans that hold there count.
-
-A fingerprint is sent once from a chunk however many documents of it have it, so no fingerprint is hotter than the number
-of chunks. All of it is one plan without driver data, and the documents' one exchange is reused by every pass.
+"""What suffix-array and substring deduplication share: documents dealt into chunks, and the exchange that tells a chunk which
+of its windows can repeat at all.
+
+A chunk is a few MB of documents, by a hash of key and text, so that neither long texts nor clustered, equal or null keys
+make a large one. Chunks never exchange texts whole. Every window has a minimizer, the least hash of the shorter runs in it;
+equal windows have equal minimizers, so a window can only repeat if its minimizer is met in two documents. Neighbouring
+windows with one minimizer form a segment. A value leaves a chunk once however many documents of it have it, so no value is
+hotter than the number of chunks, and values are dealt to parts by hash. The documents' one exchange is reused by every pass.
 """
 
 from __future__ import annotations
@@ -26,15 +17,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, byte_table, mixed, partitions, text_bytes, word_hashes, words
 
-CHUNK_BYTES = 4 << 20
-#: Most quantiles of the key that the driver sees; more chunks than these divide the ranges between them evenly.
-MOST_KNOTS = 1024
+#: Text of a chunk: the first, or as much as makes so many chunks, up to the last.
+CHUNK_BYTES, CHUNKS, LARGE_CHUNK = 4 << 20, 1 << 14, 16 << 20
+#: Text whose values one part of an exchange answers for.
+PART_BYTES = 64 << 20
+#: A minimizer that more chunks than this have is hot: its segments are not gathered in one part.
+HOT = 256
 MAIL = "p long, chunk long, kind string, data binary"
 STATE = "state"
 
@@ -62,21 +55,18 @@ class Setting:
     unit: str
     width: int
     anchor: int
-    parts: int
-    verify: bool
 
 
 class Chunk:
     """The documents of one chunk in order of key, and their symbols as one sequence."""
 
     def __init__(self, rows: pa.Table, setting: Setting, seed: int = 7):
-        names = rows.column_names
         order = pc.sort_indices(rows, [("key", "ascending"), ("text", "ascending")])
         self.rows, self.setting = rows.take(order).combine_chunks(), setting
         self.offsets, self.raw = text_bytes(self.rows.column("text"))
         keys = self.rows.column("key")
         self.real = ~keys.is_null().to_numpy(zero_copy_only=False)
-        self.rank = np.unique(keys.fill_null(0).to_numpy(), return_inverse=True)[1] if len(keys) else np.zeros(0, np.int64)
+        self.keys = keys.fill_null(0).to_numpy().astype(np.int64)
         if setting.unit == "words":
             self.starts, self.ends, self.first = words(self.raw, self.offsets)
             self.symbols = self.word_symbols(seed)
@@ -84,7 +74,6 @@ class Chunk:
             self.first = self.offsets
             self.table = byte_table(seed)
         self.n = int(self.first[-1])
-        self.names = names
 
     def word_symbols(self, seed: int, step: int = 1 << 16) -> np.ndarray:
         out = np.zeros(len(self.starts), np.uint64)
@@ -101,8 +90,9 @@ class Chunk:
         fits = np.maximum(np.diff(self.first) - self.setting.width + 1, 0) * self.real
         return spread(self.first[:-1], fits)
 
-    def document(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first, places, "right") - 1
+    def key_at(self, places: np.ndarray) -> np.ndarray:
+        """The keys of the documents that some symbols lie in."""
+        return self.keys[np.searchsorted(self.first, places, "right") - 1]
 
     def minimizers(self, starts: np.ndarray, step: int = 1 << 18) -> np.ndarray:
         """Of the windows at some sorted starts."""
@@ -136,11 +126,24 @@ class Chunk:
             out[i:j] = Rolling(self.part(low, int(ends.max()))).of(starts[i:j] - low, ends - low)
         return out
 
-    def windows(self, starts: np.ndarray) -> np.ndarray:
-        return self.hashes(starts, np.full(len(starts), self.setting.width))
-
-    def segments(self, starts: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows_like(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, which): the windows of documents with a key that equal one at some places, and which of these."""
+        width = self.setting.width
+        starts = self.valid()
+        if not len(places) or not len(starts):
+            return starts[:0], starts[:0]
+        order = np.argsort(places, kind="stable")
+        known = self.hashes(places[order], np.full(len(places), width))
+        by_hash = np.argsort(known, kind="stable")
+        own = self.hashes(starts, np.full(len(starts), width))
+        at = np.minimum(np.searchsorted(known[by_hash], own), len(known) - 1)
+        same = known[by_hash][at] == own
+        return starts[same], order[by_hash][at[same]]
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, counts of windows, minimizers) of the runs of consecutive windows of one document and minimizer."""
+        starts = self.valid()
+        least = self.minimizers(starts)
         if not len(starts):
             return starts, starts, least
         cut = np.flatnonzero((np.diff(starts) != 1) | (least[1:] != least[:-1])) + 1
@@ -148,21 +151,30 @@ class Chunk:
         return starts[begin], np.diff(np.append(begin, len(starts))), least[begin]
 
 
-def first_of(values: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct values, the value's number for each entry, the entry of least rank, then place, of each value)."""
-    order = np.lexsort((rank, values))
-    new = np.append(True, values[order][1:] != values[order][:-1]) if len(values) else np.zeros(0, bool)
-    number = np.zeros(len(values), np.int64)
+def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each row, first row of each group) of rows that agree in all columns but the last, which ranks them."""
+    order = np.lexsort(columns[::-1])
+    n = len(order)
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = False
+        for c in columns[:-1]:
+            new[1:] |= c[order][1:] != c[order][:-1]
+    number = np.zeros(n, np.int64)
     number[order] = np.cumsum(new) - 1
-    return values[order][new], number, order[new]
+    return number, order[new]
+
+
+def parts_of(values: np.ndarray, parts: int) -> np.ndarray:
+    """The part that answers for each value, by its high bits."""
+    return ((values >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
-def dealt(values: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """(order, [(part, from, to)]): sorted distinct values dealt to parts by their high bits."""
-    part = ((values >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+def dealt(part: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order, [(part, from, to)]): rows in order of their parts, and the range of each part that has some."""
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    return order, [(p, int(edges[p]), int(edges[p + 1])) for p in range(parts) if edges[p + 1] > edges[p]]
+    there, begin = np.unique(part[order], return_index=True)
+    return order, list(zip(there.tolist(), begin.tolist(), np.append(begin, len(part))[1:].tolist(), strict=True))
 
 
 def low(values: np.ndarray, n: int) -> bytes:
@@ -175,6 +187,20 @@ def from_low(data: bytes, n: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers, their first bytes together, then their second bytes, and so on: small numbers compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def short(values: np.ndarray) -> np.ndarray:
+    """Numbers of zero or more in the least type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
 class Mail:
     """Rows to other tasks."""
 
@@ -185,6 +211,7 @@ class Mail:
         self.rows.append((p, self.chunk, kind, data))
 
     def state(self, parts: int, **arrays) -> None:
+        """What the chunk's own next pass needs, by way of some part."""
         self.add(self.chunk % parts, STATE, pickle.dumps(arrays))
 
     def table(self) -> pa.Table:
@@ -203,266 +230,120 @@ def received(rows: pa.Table) -> tuple[dict[int, bytes], dict]:
     return data, state
 
 
-def answers(values: np.ndarray, parts: int, data: dict[int, bytes], dtype, n: int = 1) -> np.ndarray:
-    """What the parts said of sorted distinct values: n numbers of a type for each value."""
-    order, cuts = dealt(values, parts)
-    out = np.zeros((len(values), n), dtype)
+def answers(part: np.ndarray, parts: int, data: dict[int, bytes], dtype) -> np.ndarray:
+    """What the parts said of rows that were dealt to them."""
+    order, cuts = dealt(part, parts)
+    out = np.zeros(len(part), dtype)
     for p, a, b in cuts:
-        out[order[a:b]] = np.frombuffer(data[p], dtype).reshape(b - a, n)
+        out[order[a:b]] = np.frombuffer(data[p], dtype)
     return out
 
 
-def resolver(kind: str, verify: bool) -> Callable[[pa.Table], pa.Table]:
-    """Answers the mail of one part. `minimizers`: is it in several chunks; `segments` and `windows`: the number of the
-    least chunk that has it, plus one, if that is less than the asker's, and there its place if verify is set;
-    `segments` also say if their minimizer has several."""
+def resolver(answer: Callable[[list[bytes]], list[bytes]]) -> Callable[[pa.Table], pa.Table]:
+    """Answers the mail of one part: answer gives a reply to each of the chunks' data; states pass by."""
 
     def run(rows: pa.Table) -> pa.Table:
         part = rows.column("p")[0].as_py() if rows.num_rows else 0
-        chunks, kinds, data = rows.column("chunk").to_pylist(), rows.column("kind").to_pylist(), rows.column("data").to_pylist()
-        mine = sorted((c, x) for c, k, x in zip(chunks, kinds, data, strict=True) if k != STATE)
-        out = [(part, c, k, x) for c, k, x in zip(chunks, kinds, data, strict=True) if k == STATE]
-        size = {"minimizers": 5, "segments": 13, "windows": 8}[kind] + (4 if verify and kind != "minimizers" else 0)
-        counts = [len(x) // size for _, x in mine]
-        who = np.repeat(np.arange(len(mine)), counts)
-        if kind == "minimizers":
-            values = np.concatenate([from_low(x, 5) for _, x in mine]) if mine else np.zeros(0, np.uint64)
-            order = np.argsort(values, kind="stable")
-            same = values[order][1:] == values[order][:-1]
-            met = np.zeros(len(values), np.uint8)
-            met[order[1:][same]] = 1
-            met[order[:-1][same]] = 1
-            answer = met[:, None]
-        else:
-            cut = lambda a, b: [np.frombuffer(x, np.uint8)[n * a : n * b] for (_, x), n in zip(mine, counts, strict=True)]
-            joined = lambda parts, dtype: np.frombuffer(b"".join(x.tobytes() for x in parts), dtype)
-            values = joined(cut(0, 8), np.uint64)
-            number = np.array([c for c, _ in mine], np.int64)[who] if mine else np.zeros(0, np.int64)
-            _, which, least = first_of(values, who)
-            source = least[which] if len(values) else np.zeros(0, np.int64)
-            found = number[source] < number
-            answer = np.zeros((len(values), 2 if verify else 1), np.int32)
-            if kind == "segments":
-                anchors = from_low(joined(cut(8, 13), np.uint8).tobytes(), 5)
-                distinct = anchors[least]
-                many = np.unique(distinct, return_counts=True)
-                answer[:, 0] = np.where(many[1][np.searchsorted(many[0], anchors)] > 1, -1, 0) if len(values) else 0
-            answer[found, 0] = number[source][found] + 1
-            if verify:
-                places = joined(cut(size - 4, size), np.int32)
-                answer[found, 1] = places[source][found]
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        out += [(part, c, "answer", answer[edges[i] : edges[i + 1]].tobytes()) for i, (c, _) in enumerate(mine)]
-        p, c, k, x = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"p": pa.array(p, pa.int64()), "chunk": pa.array(c, pa.int64()), "kind": pa.array(k, pa.string()), "data": pa.array(x, pa.binary())})
+        out, chunks, data = [], [], []
+        for c, k, x in zip(rows.column("chunk").to_pylist(), rows.column("kind").to_pylist(), rows.column("data").to_pylist(), strict=True):
+            if k == STATE:
+                out.append((part, c, k, x))
+            else:
+                chunks.append(c)
+                data.append(x)
+        out += [(part, c, "answer", x) for c, x in zip(chunks, answer(data) if data else [], strict=True)]
+        mail = Mail(0)
+        mail.rows = out
+        return mail.table()
 
     return run
 
 
+def minimizer_chunks(data: list[bytes]) -> list[bytes]:
+    """Of each minimizer, a byte: 0 if one chunk has it, 1 if several have, 2 if it is hot."""
+    counts = [len(x) // 5 for x in data]
+    values = np.concatenate([from_low(x, 5) for x in data])
+    order = np.argsort(values)
+    new = np.append(True, values[order][1:] != values[order][:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(values)))
+    answer = np.zeros(len(values), np.uint8)
+    answer[order] = np.repeat(np.where(size > HOT, 2, np.where(size > 1, 1, 0)).astype(np.uint8), size)
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    return [answer[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def number(table: pa.Table) -> int:
+    return table.column("chunk")[0].as_py()
+
+
+def candidates(chunk: Chunk, got: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, counts, minimizers, hot) of the segments whose minimizer several documents have."""
+    begin, count, own = chunk.segments()
+    values, which = np.unique(own, return_inverse=True)
+    said = answers(parts_of(values, parts), parts, received(got)[0], np.uint8)
+    keys = chunk.key_at(begin) if len(begin) else begin
+    lowest, highest = np.full(len(values), np.iinfo(np.int64).max), np.full(len(values), np.iinfo(np.int64).min)
+    np.minimum.at(lowest, which, keys)
+    np.maximum.at(highest, which, keys)
+    keep = ((said > 0) | (lowest < highest))[which] if len(begin) else np.zeros(0, bool)
+    return begin[keep], count[keep], own[keep], (said == 2)[which][keep] if len(begin) else keep
+
+
+class Exchange:
+    """The documents in chunks, and passes over them that meet mail: a pass reads each chunk once with what came for it."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, carry: list[str], setting: Setting):
+        self.setting = setting
+        self.rows, self.parts = in_chunks(docs, key, text, carry)
+        self.groups = self.rows.groupBy("chunk")
+
+    def asked(self, mail: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+        return mail.groupBy("p").applyInArrow(resolver(answer), MAIL)
+
+    def met(self, mail: DataFrame, run: Callable[[Chunk, int, pa.Table], pa.Table], schema) -> DataFrame:
+        """run(chunk, its number, its mail) of every chunk."""
+        setting = self.setting
+
+        def both(table: pa.Table, got: pa.Table) -> pa.Table:
+            return run(Chunk(table, setting), number(table), got)
+
+        return self.groups.cogroup(mail.groupBy("chunk")).applyInArrow(both, schema)
+
+    def minimizers(self) -> DataFrame:
+        """Mail that tells each chunk of its minimizers (see minimizer_chunks)."""
+        setting, parts = self.setting, self.parts
+
+        def send(table: pa.Table) -> pa.Table:
+            chunk, mail = Chunk(table, setting), Mail(number(table))
+            values = np.unique(chunk.segments()[2])
+            order, cuts = dealt(parts_of(values, parts), parts)
+            for p, a, b in cuts:
+                mail.add(p, "minimizers", low(values[order[a:b]], 5))
+            return mail.table()
+
+        return self.asked(self.groups.applyInArrow(send, MAIL), minimizer_chunks)
+
+
 def in_chunks(docs: DataFrame, key: str, text: str, carry: list[str]) -> tuple[DataFrame, int]:
-    """(rows (chunk, key, text, carry), number of parts): chunks are ranges of the key by its quantiles, of about
-    CHUNK_BYTES each; rows without a key go to chunks of their own."""
+    """(rows (chunk, key, text, carry), number of parts). The driver sees the sum of the texts' bytes."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *(F.col(f"`{c}`").alias(f"c_{c}") for c in carry))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = max(-(-total // CHUNK_BYTES), partitions(spark))
-    count = min(wanted, MOST_KNOTS)
-    found = rows.where("key is not null").stat.approxQuantile("key", [i / count for i in range(count + 1)], 1 / (4 * count)) if count > 1 else []
-    knots = sorted({k for k in found[1:-1] if k > found[0]})
-    splits = [float("-inf"), *knots, float("inf")]
-    real = F.col("key").cast("double")
-    if knots:
-        placed = Bucketizer(splits=splits, inputCol="_real", outputCol="_chunk", handleInvalid="keep").transform(rows.withColumn("_real", real))
-    else:
-        placed = rows.withColumn("_chunk", F.lit(0.0))
-    chunk = F.col("_chunk").cast("long")
-    within = -(-wanted // count)
-    if within > 1 and knots:
-        at = chunk.cast("int") + 1
-        low_ = F.element_at(F.array(*map(F.lit, [found[0], *knots])), at)
-        high = F.element_at(F.array(*map(F.lit, [*knots, found[-1]])), at)
-        share = F.floor((real - low_) / F.greatest(high - low_, F.lit(1.0)) * within)
-        chunk = chunk * within + F.least(F.lit(within - 1), F.greatest(F.lit(0), share))
-    nulls = F.lit(within * len(splits)) + F.pmod(F.xxhash64("text"), F.lit(partitions(spark)))
-    chunk = F.when(F.col("key").isNull(), nulls).otherwise(chunk).cast("long")
-    return placed.select(chunk.alias("chunk"), "key", "text", *(f"c_{c}" for c in carry)), max(partitions(spark), -(-total // (64 << 20)))
-
-
-def repeated(docs: DataFrame, key: str, text: str, carry: list[str], setting: Setting, labels: Callable, finish: Callable, schema: str) -> DataFrame:
-    """finish(chunk, starts of repeated windows) of each chunk, as rows of schema.
-
-    labels(chunk, starts): equal numbers for equal windows of a chunk, at sorted starts.
-    """
-    rows, parts = in_chunks(docs, key, text, carry)
-    setting = Setting(setting.unit, setting.width, setting.anchor, parts, setting.verify)
-    verify = setting.verify
-    groups = rows.groupBy("chunk")
-
-    def number(table: pa.Table) -> int:
-        return table.column("chunk")[0].as_py()
-
-    def send_minimizers(table: pa.Table) -> pa.Table:
-        chunk, mail = Chunk(table, setting), Mail(number(table))
-        values = np.unique(chunk.segments(*(lambda s: (s, chunk.minimizers(s)))(chunk.valid()))[2])
-        order, cuts = dealt(values, parts)
-        for p, a, b in cuts:
-            mail.add(p, "minimizers", low(values[order[a:b]], 5))
-        return mail.table()
+    size = max(CHUNK_BYTES, min(LARGE_CHUNK, total // CHUNKS))
+    count = max(-(-total // size), partitions(spark))
+    chunk = F.pmod(F.xxhash64("key", "text"), F.lit(count))
+    return rows.select(chunk.alias("chunk"), "*"), max(partitions(spark), -(-total // (PART_BYTES // CHUNK_BYTES * size)))
 
-    def send_segments(table: pa.Table, got: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return Mail(0).table()
-        chunk, mail = Chunk(table, setting), Mail(number(table))
-        data, _ = received(got)
-        starts = chunk.valid()
-        least = chunk.minimizers(starts)
-        begin, count, own = chunk.segments(starts, least)
-        values, which, _ = first_of(own, np.zeros(len(own), np.int64))
-        shared = answers(values, parts, data, np.uint8)[:, 0] > 0
-        document = chunk.rank[chunk.document(begin)] if len(begin) else begin
-        lowest, highest = np.full(len(values), 1 << 60), np.full(len(values), -1)
-        np.minimum.at(lowest, which, document)
-        np.maximum.at(highest, which, document)
-        keep = np.repeat((shared | (lowest < highest))[which], count) if len(begin) else np.zeros(0, bool)
-        starts, least = starts[keep], least[keep]
-        label = labels(chunk, starts)
-        rank = chunk.rank[chunk.document(starts)] if len(starts) else starts
-        _, which, source = first_of(label, rank)
-        copied = rank > rank[source[which]] if len(starts) else np.zeros(0, bool)
-        open_ = starts[~copied]
-        own_segments(chunk, mail, open_, least[~copied])
-        at, n = runs(open_)
-        gone, m = runs(starts[copied])
-        state = {"open": (at, n), "gone": (gone, m)}
-        if verify:
-            state["from"] = starts[source[which]][copied]
-        mail.state(parts, **state)
-        return mail.table()
 
-    def own_segments(chunk: Chunk, mail: Mail | None, starts: np.ndarray, least: np.ndarray):
-        """Distinct segments of some windows; sent if there is mail."""
-        begin, count, own = chunk.segments(starts, least)
-        # the minimizer's part must hold all its segments, so its high bits lead
-        values = chunk.hashes(begin, count + setting.width - 1)
-        values, which, first = first_of(values, np.arange(len(values)))
-        part = ((own[first] >> np.uint64(40)) % np.uint64(parts)).astype(np.int64) if len(first) else np.zeros(0, np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        cuts = [(p, int(edges[p]), int(edges[p + 1])) for p in range(parts) if edges[p + 1] > edges[p]]
-        if mail is not None:
-            for p, a, b in cuts:
-                some = order[a:b]
-                data = low(values[some], 8) + low(own[first[some]], 5) + (begin[first[some]].astype(np.int32).tobytes() if verify else b"")
-                mail.add(p, "segments", data)
-        return begin, count, which, order, cuts
-
-    def send_windows(table: pa.Table, got: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return Mail(0).table()
-        chunk, mail = Chunk(table, setting), Mail(number(table))
-        data, state = received(got)
-        starts = spread(*state["open"])
-        begin, count, which, order, cuts = own_segments(chunk, None, starts, chunk.minimizers(starts))
-        said = np.zeros((len(order), 2 if verify else 1), np.int32)
-        for p, a, b in cuts:
-            said[order[a:b]] = np.frombuffer(data[p], np.int32).reshape(b - a, -1)
-        said = said[which] if len(which) else said[:0]
-        whole, asked = said[:, 0] > 0, said[:, 0] < 0
-        open_ = spread(begin[asked], count[asked])
-        values, _, first = first_of(chunk.windows(open_), np.arange(len(open_)))
-        order, cuts = dealt(values, parts)
-        for p, a, b in cuts:
-            some = order[a:b]
-            mail.add(p, "windows", low(values[some], 8) + (open_[first[some]].astype(np.int32).tobytes() if verify else b""))
-        state = {"open": runs(open_), "gone": state["gone"], "whole": (begin[whole], count[whole]), "from": state.get("from")}
-        if verify:
-            state["whole_from"] = said[whole]
-        mail.state(parts, **state)
-        return mail.table()
+def covered(chunk: Chunk, starts: np.ndarray) -> np.ndarray:
+    """Which symbols lie in a window at some starts."""
+    change = np.zeros(chunk.n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + chunk.setting.width, -1)
+    return np.cumsum(change)[:-1] > 0
 
-    def settled(chunk: Chunk, own: int, got: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, chunk, place) of the repeated windows and, if verify is set, of their sources."""
-        data, state = received(got)
-        open_ = spread(*state["open"])
-        values, which, _ = first_of(chunk.windows(open_), np.arange(len(open_)))
-        said = answers(values, parts, data, np.int32, 2 if verify else 1)[which] if len(open_) else np.zeros((0, 2), np.int32)
-        found = said[:, 0] > 0
-        local, whole = spread(*state["gone"]), spread(*state["whole"])
-        starts = np.concatenate([local, whole, open_[found]])
-        order = np.argsort(starts, kind="stable")
-        if not verify:
-            return starts[order], starts[:0], starts[:0]
-        count = state["whole"][1]
-        inner = whole - np.repeat(state["whole"][0], count)
-        where = np.concatenate([np.full(len(local), own), np.repeat(state["whole_from"][:, 0], count).astype(np.int64) - 1, said[found, 0].astype(np.int64) - 1])
-        place = np.concatenate([state["from"], np.repeat(state["whole_from"][:, 1], count) + inner, said[found, 1]])
-        return starts[order], where[order], place[order]
-
-    def spans(starts: np.ndarray, where: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(starts, windows, chunk, place): consecutive windows with consecutive sources, which form one path."""
-        if not len(starts):
-            return starts, starts, where, place
-        cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(where) != 0) | (np.diff(place) != 1)) + 1
-        begin = np.concatenate([[0], cut])
-        return starts[begin], np.diff(np.append(begin, len(starts))), where[begin], place[begin]
-
-    def prints(chunk: Chunk, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Second fingerprints of the symbols under runs of windows."""
-        rolling = Rolling(mixed(chunk.word_symbols(1013) ^ chunk.symbols))
-        return rolling.of(starts, starts + count + setting.width - 1)
-
-    def send_spans(table: pa.Table, got: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return Mail(0).table()
-        chunk, own = Chunk(table, setting), number(table)
-        mail = Mail(own)
-        begin, count, where, place = spans(*settled(chunk, own, got))
-        asked = np.stack([where, place, count, prints(chunk, begin, count).view(np.int64)], axis=1) if len(begin) else np.zeros((0, 4), np.int64)
-        asked, which = np.unique(asked, axis=0, return_inverse=True)
-        edges = np.flatnonzero(np.append(True, np.diff(asked[:, 0]) != 0)) if len(asked) else np.zeros(0, np.int64)
-        for a, b in zip(edges, np.append(edges, len(asked))[1:], strict=True):
-            mail.rows.append((own, int(asked[a, 0]), "ask", np.ascontiguousarray(asked[a:b, 1:]).tobytes()))
-        state = (begin, count, which.ravel(), len(asked), asked[edges, 0], edges)
-        mail.rows.append((own, own, STATE, pickle.dumps(state)))
-        return mail.table()
 
-    def check_spans(table: pa.Table, got: pa.Table) -> pa.Table:
-        """Answers to the chunks that asked for spans of this one; a chunk's own state passes by."""
-        out = Mail(0)
-        chunk = Chunk(table, setting) if table.num_rows else None
-        second = Rolling(mixed(chunk.word_symbols(1013) ^ chunk.symbols)) if chunk and got.num_rows else None
-        here = number(got) if got.num_rows else 0
-        for p, kind, x in zip(got.column("p").to_pylist(), got.column("kind").to_pylist(), got.column("data").to_pylist(), strict=True):
-            if kind == STATE:
-                out.rows.append((here, p, STATE, x))
-                continue
-            place, count, want = np.frombuffer(x, np.int64).reshape(-1, 3).T
-            ends = place + count + setting.width - 1
-            holds = (ends <= (chunk.n if chunk else 0)) & (place >= 0)
-            holds[holds] = second.of(place[holds], ends[holds]).view(np.int64) == want[holds]
-            out.rows.append((here, p, "answer", holds.astype(np.uint8).tobytes()))
-        return out.table()
-
-    def end(table: pa.Table, got: pa.Table) -> pa.Table:
-        chunk = Chunk(table, setting)
-        if not verify:
-            return finish(chunk, settled(chunk, number(table), got)[0])
-        data, (begin, count, which, n, sources, edges) = received(got)
-        holds = np.zeros(n, bool)
-        for s, a, b in zip(sources.tolist(), edges, np.append(edges, n)[1:], strict=True):
-            holds[a:b] = np.frombuffer(data[s], np.uint8) > 0
-        good = holds[which]
-        return finish(chunk, np.sort(spread(begin[good], count[good])))
-
-    def asked(mail: DataFrame, kind: str) -> DataFrame:
-        return mail.groupBy("p").applyInArrow(resolver(kind, verify), MAIL)
-
-    def pass_(mail: DataFrame, f: Callable, out: str) -> DataFrame:
-        return groups.cogroup(mail.groupBy("chunk")).applyInArrow(f, out)
-
-    mail = asked(groups.applyInArrow(send_minimizers, MAIL), "minimizers")
-    mail = asked(pass_(mail, send_segments, MAIL), "segments")
-    mail = asked(pass_(mail, send_windows, MAIL), "windows")
-    if verify:
-        mail = pass_(pass_(mail, send_spans, MAIL), check_spans, MAIL)
-    return pass_(mail, end, schema)
+def second_prints(chunk: Chunk) -> Rolling:
+    """Hashes of runs of words that share nothing with those of Chunk.symbols."""
+    return Rolling(mixed(chunk.word_symbols(1013) ^ np.uint64(0x5851F42D4C957F2D)))
