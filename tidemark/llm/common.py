@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names in spark.checkpoint.dir; only a session without one, as in
-    local tests, gets a temporary folder of its own."""
+    """Checkpoints go to the folder that the session names in spark.checkpoint.dir; only a local session without one, as in
+    tests, gets a temporary folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -31,6 +35,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that operators wrote for their own later steps, since they were last dropped.
+SAVED: list[str] = []
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once and written as Parquet beside the checkpoints. Unlike a checkpoint it is compressed, and later steps
+    read only the columns that they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    SAVED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Deletes what `saved` wrote: for callers whose results are written, as a DataFrame that needs it can't be read after."""
+    while SAVED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SAVED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

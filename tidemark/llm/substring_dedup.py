@@ -3,16 +3,20 @@ of one word less at their ends. Edges that several documents have are kept, each
 place that has it; edges that follow each other through a node of one edge in and one out, and whose sources follow each
 other too, are compacted to one path; what a document shares with a path is a span, and each span is verified at its source.
 
-1. Chunks of documents learn which of their windows can repeat (see repeats); only these become edges, as rows.
-2. Edges, the degrees of their nodes and the paths are Spark aggregations and joins over those rows. A chunk sends an edge
-   once, so that copies add no rows within a chunk and no edge has more rows than there are chunks.
-3. A join brings the sources back to the chunks, which put their windows together to spans.
-4. Distinct spans go to the chunk of their source. There the words must have the span's fingerprints, 128 bits by hashes of
-   their own; what does not hold is not removed.
+1. Chunks of documents learn which of their windows can repeat (see repeats); only these enter the graph.
+2. Neighbouring edges of one minimizer are a segment. All edges of a minimizer that only one distinct segment has lie in that
+   segment, so that its inner nodes don't branch: it is one compacted edge from the start. The segments of other
+   minimizers are split into single edges.
+3. The graph's edges, their sources, the degrees of their nodes and the paths are Spark aggregations and joins. A chunk sends
+   an edge once, so that copies add no rows within a chunk and no edge has more rows than there are chunks.
+4. A join brings the sources back to the chunks, which put their windows together to spans.
+5. Distinct spans go to the chunk of their source. There the words must have the span's fingerprints, 128 bits by two
+   families of hashes; what does not hold is not removed.
 """
 
 from __future__ import annotations
 
+import pickle
 from itertools import compress
 
 import numpy as np
@@ -21,107 +25,142 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import saved, table
 from .repeats import Chunk, Exchange, Setting, candidates, covered, grouped, runs, second_prints, spread
 
-EDGE = "edge long, check long, tail long, head long, key long, last long, chunk long, place int"
-SOURCE = ("place", "key", "from_chunk", "from_place", "path")
+#: Compacted edges of a chunk: a hash of their words and, by another family of hashes, of their first and last nodes; how many
+#: edges were compacted; the least and greatest keys that have them; their first place.
+EDGE = "print long, tail long, head long, n int, key long, last long, chunk long, place int"
 SPAN = ("from_chunk", "from_place", "windows", "print", "check")
 
 
-def edges_of(exchange: Exchange) -> DataFrame:
-    """(edge, check, tail, head, key, last, chunk, place): the distinct windows of each chunk that can repeat: two hashes of
-    their words, the nodes at their ends, the least and greatest keys that have them, and the place of the first."""
+def edge_rows(chunk: Chunk, own: int, starts: np.ndarray, count: np.ndarray, keys: np.ndarray, last: np.ndarray) -> dict[str, pa.Array]:
+    node = chunk.setting.width - 1
+    second = second_prints(chunk) if len(starts) else None
+    tail, head = (second.of(x, x + node) if len(starts) else np.zeros(0, np.uint64) for x in (starts, starts + count))
+    columns = {"print": chunk.hashes(starts, count + node).view(np.int64), "tail": tail.view(np.int64), "head": head.view(np.int64), "n": count.astype(np.int32)}
+    return {k: pa.array(v) for k, v in (columns | {"key": keys, "last": last, "chunk": np.full(len(starts), own), "place": starts.astype(np.int32)}).items()}
 
+
+def segments_of(exchange: Exchange) -> DataFrame:
+    """(EDGE, anchor): the distinct segments of each chunk whose minimizer, the anchor, several documents have."""
     parts = exchange.parts
 
     def send(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
-        begin, count, _, _ = candidates(chunk, got, parts)
-        starts, width = spread(begin, count), np.int64(chunk.setting.width)
-        one = np.ones(len(starts), np.int64)
-        edge, tail, head = chunk.hashes(starts, one * width), chunk.hashes(starts, one * (width - 1)), chunk.hashes(starts + 1, one * (width - 1))
-        check = second_prints(chunk).of(starts, starts + width) if len(starts) else edge
-        keys = chunk.key_at(starts) if len(starts) else starts
-        which, first = grouped(edge, check, keys)
+        begin, count, anchors, _ = candidates(chunk, got, parts)
+        prints, keys = chunk.hashes(begin, count + chunk.setting.width - 1), chunk.key_at(begin) if len(begin) else begin
+        # a chunk's documents are in order of key, so that the first of equal segments has the least
+        which, first = grouped(prints, anchors, np.arange(len(begin)))
         last = keys[first]
         np.maximum.at(last, which, keys)
-        columns = {"edge": edge[first], "check": check[first], "tail": tail[first], "head": head[first], "key": keys[first], "last": last, "chunk": np.full(len(first), own)}
-        return pa.table({k: pa.array(v.view(np.int64)) for k, v in columns.items()} | {"place": pa.array(starts[first].astype(np.int32))})
+        order = np.argsort(first)
+        first, last = first[order], last[order]
+        return pa.table(edge_rows(chunk, own, begin[first], count[first], keys[first], last) | {"anchor": pa.array(anchors[first].view(np.int64))})
 
-    return exchange.met(exchange.minimizers(), send, EDGE)
+    return saved(exchange.met(exchange.minimizers(), send, EDGE + ", anchor long"))
 
 
-def paths_of(edges: DataFrame) -> DataFrame:
-    """(edge, check, key, chunk, place, path) of the edges that several documents have: their sources, and the place at which
-    the path that they are compacted to begins there."""
+def single_edges(exchange: Exchange, segments: DataFrame) -> DataFrame:
+    """(EDGE): every edge of some segments (chunk, place, n, key, last) on its own."""
+
+    def send(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
+        order = np.argsort(got.column("place").to_numpy(), kind="stable")
+        place, n, key, last = (got.column(c).to_numpy().astype(np.int64)[order] for c in ("place", "n", "key", "last"))
+        starts = spread(place, n)
+        return pa.table(edge_rows(chunk, own, starts, np.ones(len(starts), np.int64), np.repeat(key, n), np.repeat(last, n)))
+
+    return saved(exchange.met(segments.select("chunk", "place", "n", "key", "last"), send, EDGE))
+
+
+def distinct_edges(edges: DataFrame, *more: str) -> DataFrame:
+    """(print, tail, head, n, more, key, chunk, place, last): equal edges as one, with their source."""
     source = F.min(F.struct("key", "chunk", "place")).alias("source")
-    shared = edges.groupBy("edge", "check").agg(source, F.max("last").alias("last"), F.min("tail").alias("tail"), F.min("head").alias("head")).where("source.key < last")
+    kept = [F.min(c).alias(c) for c in ("head", "n", *more)]
+    return edges.groupBy("print", "tail").agg(source, *kept, F.max("last").alias("last")).select("print", "tail", "head", "n", *more, "source.*", "last")
+
+
+def paths_of(edges: DataFrame) -> DataFrame:
+    """edges (print, tail, head, n, key, chunk, place) with `path`, the place at which the path that they are compacted to
+    begins at their source, instead of head: it goes on through a node of one edge in and one out if the sources do too."""
     ends = F.array(F.struct(F.col("tail").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("head").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-    nodes = shared.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
     single = nodes.where("out = 1 and into = 1").select(F.col("node").alias("tail"), F.lit(True).alias("single"))
-    placed = shared.join(single, "tail", "left").select("edge", "check", "source.*", "single")
     along = Window.partitionBy("chunk").orderBy("place")
-    follows = F.col("single") & (F.lag("place").over(along) == F.col("place") - 1)
-    begun = placed.withColumn("begin", F.when(F.coalesce(follows, F.lit(False)), None).otherwise(F.col("place")))
-    return begun.withColumn("path", F.last("begin", ignorenulls=True).over(along)).drop("begin", "single")
+    follows = F.col("single") & (F.lag(F.col("place") + F.col("n")).over(along) == F.col("place"))
+    begun = edges.join(single, "tail", "left").withColumn("begin", F.when(F.coalesce(follows, F.lit(False)), None).otherwise(F.col("place")))
+    return begun.withColumn("path", F.last("begin", ignorenulls=True).over(along)).select("print", "tail", "n", "key", "chunk", "place", "path")
+
+
+def sources_of(exchange: Exchange) -> DataFrame:
+    """(chunk, place, n, key, from_chunk, from_place, path): the edges of each chunk that several documents have, where they
+    first are in the chunk, and the key and place of their source."""
+    segments = segments_of(exchange)
+    kinds = distinct_edges(segments, "anchor")
+    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    single = single_edges(exchange, segments.join(open_, "anchor", "left_semi"))
+    shared = kinds.join(open_, "anchor", "left_anti").drop("anchor").unionByName(distinct_edges(single)).where("key < last").drop("last")
+    found = paths_of(saved(shared)).toDF("print", "tail", "n", "key", "from_chunk", "from_place", "path")
+    there = segments.select("print", "tail", "chunk", "place").unionByName(single.select("print", "tail", "chunk", "place"))
+    return there.join(found, ["print", "tail"]).select("chunk", "place", "n", "key", "from_chunk", "from_place", "path")
+
+
+def spans_of(chunk: Chunk, got: pa.Table) -> tuple[np.ndarray, ...]:
+    """(starts, windows, number of their distinct span, the distinct spans): the windows whose source has a smaller key, in
+    runs of one path whose sources follow each other."""
+    place, n, key, where, at, path = (got.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "key", "from_chunk", "from_place", "path"))
+    starts, which = chunk.windows_like(spread(place, n))
+    key, where, at, path = np.repeat(key, n), np.repeat(where, n), spread(at, n), np.repeat(path, n)
+    early = key[which] < chunk.key_at(starts) if len(starts) else np.zeros(0, bool)
+    starts, which = starts[early], which[early]
+    where, at, path = where[which], at[which], path[which]
+    cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(where) != 0) | (np.diff(at) != 1) | (np.diff(path) != 0)) + 1
+    begin = np.concatenate([[0], cut]).astype(np.int64) if len(starts) else starts
+    count = np.diff(np.append(begin, len(starts)))
+    first, ends = starts[begin], starts[begin] + count + chunk.setting.width - 1
+    prints = (chunk.hashes(first, ends - first), second_prints(chunk).of(first, ends)) if len(first) else (first, first)
+    distinct = np.stack([where[begin], at[begin], count, *(p.view(np.int64) for p in prints)], axis=1)
+    distinct, number = np.unique(distinct, axis=0, return_inverse=True)
+    return first, count, number.ravel(), distinct
 
 
 def repeated_spans(exchange: Exchange, finish, schema) -> DataFrame:
     """finish(chunk, starts of the verified windows that also start in a document with a smaller key) of each chunk."""
-    edges = edges_of(exchange).repartition("edge", "check")
-    found = paths_of(edges).select("edge", "check", F.col("key").alias("from_key"), F.col("chunk").alias("from_chunk"), F.col("place").alias("from_place"), "path")
-    sources = edges.join(found, ["edge", "check"]).where("from_key < last").select("chunk", "place", F.col("from_key").alias("key"), "from_chunk", "from_place", "path")
-
-    def spans(chunk: Chunk, got: pa.Table) -> tuple[np.ndarray, ...]:
-        """(starts, windows, number of their distinct span, the distinct spans): the windows whose source has a smaller key, in
-        runs of one path whose sources follow each other."""
-        place, key, where, at, path = (got.column(c).to_numpy().astype(np.int64) for c in SOURCE)
-        known = chunk.windows_like(place)
-        starts, which = known
-        early = key[which] < chunk.key_at(starts) if len(starts) else np.zeros(0, bool)
-        starts, which = starts[early], which[early]
-        where, at, path = where[which], at[which], path[which]
-        cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(where) != 0) | (np.diff(at) != 1) | (np.diff(path) != 0)) + 1
-        begin = np.concatenate([[0], cut]).astype(np.int64) if len(starts) else starts
-        count = np.diff(np.append(begin, len(starts)))
-        first, ends = starts[begin], starts[begin] + count + chunk.setting.width - 1
-        prints = (chunk.hashes(first, ends - first), second_prints(chunk).of(first, ends)) if len(first) else (first, first)
-        distinct = np.stack([where[begin], at[begin], count, *(p.view(np.int64) for p in prints)], axis=1)
-        distinct, number = np.unique(distinct, axis=0, return_inverse=True)
-        return first, count, number.ravel(), distinct
+    longs = ", ".join(f"{c} long" for c in SPAN)
 
     def ask(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
-        distinct = spans(chunk, got)[3]
-        return pa.table({c: pa.array(distinct[:, i]) for i, c in enumerate(SPAN)} | {"chunk": pa.array(np.full(len(distinct), own))})
+        """The chunk's distinct spans, and what it needs to know them again."""
+        first, count, number, distinct = spans_of(chunk, got)
+        state = pickle.dumps((first.astype(np.int32), count.astype(np.int32), number.astype(np.int32)))
+        columns = {c: pa.array(distinct[:, i]) for i, c in enumerate(SPAN)} | {"chunk": pa.array(np.full(len(distinct), own)), "number": pa.array(np.arange(len(distinct)))}
+        asked = pa.table(columns | {"state": pa.nulls(len(distinct), pa.binary())})
+        held = pa.table({c: pa.nulls(1, pa.int64()) for c in SPAN} | {"chunk": [own], "number": pa.nulls(1, pa.int64()), "state": pa.array([state], pa.binary())})
+        return pa.concat_tables([asked, held])
 
     def verify(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
         place, windows, one, two = (got.column(c).to_numpy() for c in SPAN[1:])
         ends = place + windows + chunk.setting.width - 1
         order = np.argsort(place, kind="stable")
+        order = order[ends[order] <= chunk.n]
         holds = np.zeros(len(place), bool)
-        if len(place):
-            order = order[ends[order] <= chunk.n]
-            first = chunk.hashes(place[order], (ends - place)[order]).view(np.int64) == one[order]
-            holds[order] = first & (second_prints(chunk).of(place[order], ends[order]).view(np.int64) == two[order])
+        if len(order):
+            same = chunk.hashes(place[order], (ends - place)[order]).view(np.int64) == one[order]
+            holds[order] = same & (second_prints(chunk).of(place[order], ends[order]).view(np.int64) == two[order])
         return got.select(["chunk", *SPAN[1:]]).filter(pa.array(holds)).rename_columns(SPAN)
 
     def end(chunk: Chunk, own: int, got: pa.Table) -> pa.Table:
-        kind = got.column("verified").to_numpy(zero_copy_only=False)
-        first, count, number, distinct = spans(chunk, got.filter(pa.array(~kind)))
-        held = got.filter(pa.array(kind))
-        held = np.stack([held.column(c).to_numpy() for c in SPAN], axis=1)
-        both, which = np.unique(np.concatenate([distinct, held]), axis=0, return_inverse=True)
-        good = np.zeros(len(both), bool)
-        good[which.ravel()[len(distinct) :]] = True
-        good = good[which.ravel()[: len(distinct)]][number] if len(first) else np.zeros(0, bool)
-        return finish(chunk, spread(first[good], count[good]))
-
-    asked = exchange.met(sources, ask, ", ".join(f"{c} long" for c in SPAN) + ", chunk long")
-    once = asked.select(*SPAN).distinct().withColumnRenamed("from_chunk", "chunk")
-    verified = exchange.met(once, verify, ", ".join(f"{c} long" for c in SPAN))
-    back = asked.join(verified, list(SPAN)).withColumn("verified", F.lit(True))
-    mail = sources.withColumn("verified", F.lit(False)).unionByName(back, allowMissingColumns=True)
-    return exchange.met(mail, end, schema)
+        state = [x.as_py() for x in got.column("state").drop_null()]
+        if not state:
+            return finish(chunk, np.zeros(0, np.int64))
+        first, count, number = (x.astype(np.int64) for x in pickle.loads(state[0]))
+        good = np.zeros(int(number.max()) + 1 if len(number) else 0, bool)
+        good[got.column("number").drop_null().to_numpy()] = True
+        return finish(chunk, spread(first[good[number]], count[good[number]]))
+
+    asked = saved(exchange.met(sources_of(exchange), ask, longs + ", chunk long, number long, state binary"))
+    spans = asked.where("state is null")
+    verified = exchange.met(spans.select(*SPAN).distinct().withColumnRenamed("from_chunk", "chunk"), verify, longs)
+    held = spans.join(verified, list(SPAN)).select("chunk", "number", "state")
+    return exchange.met(held.unionByName(asked.where("state is not null").select("chunk", "number", "state")), end, schema)
 
 
 def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, kept: str = "kept", spaced: bool = False) -> DataFrame:
