@@ -31,6 +31,7 @@ from .repeats import Chunk, Exchange, Setting, candidates, covered, grouped, run
 #: Compacted edges of a chunk: a hash of their words and, by another family of hashes, of their first and last nodes; how many
 #: edges were compacted; the least and greatest keys that have them; their first place.
 EDGE = "print long, tail long, head long, n int, key long, last long, chunk long, place int"
+SALT = 16
 SPAN = ("from_chunk", "from_place", "windows", "print", "check")
 
 
@@ -95,10 +96,12 @@ def sources_of(exchange: Exchange) -> DataFrame:
     """(chunk, place, n, key, from_chunk, from_place, path): the edges of each chunk that several documents have, where they
     first are in the chunk, and the key and place of their source."""
     segments = segments_of(exchange)
-    kinds = distinct_edges(segments, "anchor")
-    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    single = single_edges(exchange, segments.join(open_, "anchor", "left_semi"))
-    shared = kinds.join(open_, "anchor", "left_anti").drop("anchor").unionByName(distinct_edges(single)).where("key < last").drop("last")
+    # a minimizer may have segments in a third of all documents: they meet its mark in SALT tasks
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALT)))
+    kinds = salted(distinct_edges(segments, "anchor"))
+    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long").alias("salt"))
+    single = single_edges(exchange, salted(segments).join(open_, ["anchor", "salt"], "left_semi"))
+    shared = kinds.join(open_, ["anchor", "salt"], "left_anti").drop("anchor", "salt").unionByName(distinct_edges(single)).where("key < last").drop("last")
     found = paths_of(saved(shared)).toDF("print", "tail", "n", "key", "from_chunk", "from_place", "path")
     there = segments.select("print", "tail", "chunk", "place").unionByName(single.select("print", "tail", "chunk", "place"))
     return there.join(found, ["print", "tail"]).select("chunk", "place", "n", "key", "from_chunk", "from_place", "path")
