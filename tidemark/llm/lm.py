@@ -196,14 +196,20 @@ class Model:
         back, changes = 0, []
         for name, bias, share, cumulative, real_row in (("next", "bias", self.share, self.cumulative, target), ("bins", "bin_bias", self.bin_share, self.bin_cumulative, self.bin[target])):
             noise = np.searchsorted(cumulative, rng.random(self.how.noise)).clip(0, len(share) - 1)
-            chance = lambda rows, share=share: np.log(share[rows] * self.how.noise).astype(np.float32)
-            real = (predicted * w[name][real_row]).sum(axis=1) + w[bias][real_row, 0] - chance(real_row)
-            false = predicted @ w[name][noise].T + (w[bias][noise, 0] - chance(noise))
-            up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-            back = back + up[:, None] * w[name][real_row] + down @ w[name][noise]
-            grad = np.concatenate([up[:, None] * predicted, down.T @ predicted])
-            rows, times, grad = summed_rows(np.concatenate([real_row, noise]), np.column_stack([grad, np.concatenate([up, down.sum(axis=0)])]))
+            chance = self.chances[name]
+            truth, lie = w[name][real_row], w[name][noise]
+            real = np.einsum("ij,ij->i", predicted, truth) + w[bias][real_row, 0] - chance[real_row]
+            false = predicted @ lie.T + (w[bias][noise, 0] - chance[noise])
+            with np.errstate(over="ignore"):  # to infinity, and so to a share of 0
+                up = 1 / (1 + np.exp(real))
+                down = np.exp(np.negative(false, out=false), out=false)
+            down += 1
+            np.divide(-1, down, out=down)
+            back = back + up[:, None] * truth + down @ lie
+            grad = np.empty((n + len(noise), predicted.shape[1] + 1), np.float32)
+            grad[:n, :-1], grad[n:, :-1] = up[:, None] * predicted, down.T @ predicted
+            grad[:n, -1], grad[n:, -1] = up, down.sum(axis=0)
+            rows, times, grad = summed_rows(np.concatenate([real_row, noise]), grad)
             changes += [(name, rows, times, grad[:, :-1]), (bias, rows, times, grad[:, -1:])]
         place = np.stack([(back * vectors[0]).sum(axis=0), (back * vectors[1]).sum(axis=0)])
         changes.append(("place", np.arange(self.CONTEXT), n, place))
@@ -221,6 +227,7 @@ class Model:
         self.cumulative = np.cumsum(self.share / self.share.sum())
         self.bin_cumulative = np.cumsum(self.bin_share / self.bin_share.sum())
         self.met = {"before": np.zeros(self.k + 2, np.float32), "next": np.zeros(self.k + 1, np.float32)}
+        self.chances = {name: np.log(share * self.how.noise).astype(np.float32) for name, share in (("next", self.share), ("bins", self.bin_share))}
         self.tables = None
         rng, n = np.random.default_rng(seed), 0
         for target, first in batches:
@@ -239,38 +246,46 @@ class Model:
         rank[self.order] = np.arange(self.k + 1)
         self.tables = (w["before"] * w["place"][0], w["before"] * w["place"][1], w["next"][self.order], w["bias"][self.order, 0], rank)
 
-    def score(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    def score(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 probability of each token's class: of its bin, normalised once for each pair of words before, and of the
         word within the bin."""
         if self.tables is None:
             self.ready()
         near, far, following, bias, rank = self.tables
-        w, out, own, at = self.weights, np.zeros(len(target)), self.bin[target], rank[target]
+        w, own, at = self.weights, self.bin[target], rank[target]
         pairs, which = np.unique(one * (self.k + 2) + two, return_inverse=True)
-        order, step = np.argsort(which, kind="stable"), max(1, most // len(self.bin_share))
-        cuts = np.searchsorted(which[order], np.arange(0, len(pairs) + step, step))
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            some = pairs[i * step : (i + 1) * step]
-            scores = (near[some // (self.k + 2)] + far[some % (self.k + 2)]) @ w["bins"].T + w["bin_bias"][:, 0]
-            tokens = order[a:b]
-            row = which[tokens] - i * step
-            out[tokens] = scores[row, own[tokens]] - log_sums(scores)[row]
+        order = np.argsort(which, kind="stable")
+        predicted = near[pairs // (self.k + 2)] + far[pairs % (self.k + 2)]
+        out = np.empty(len(target))
+        out[order] = log_shares(predicted, w["bins"], w["bin_bias"][:, 0], which[order], own[order])
         order = np.argsort(own, kind="stable")
         cuts = np.searchsorted(own[order], np.arange(len(self.bin_share) + 1))
         for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.edges) > 1)):
             low, high = self.edges[c], self.edges[c + 1]
-            step = max(1, most // (high - low))
-            for a in range(cuts[c], cuts[c + 1], step):
-                tokens = order[a : min(a + step, cuts[c + 1])]
-                scores = (near[one[tokens]] + far[two[tokens]]) @ following[low:high].T + bias[low:high]
-                out[tokens] += scores[np.arange(len(tokens)), at[tokens] - low] - log_sums(scores)
+            tokens = order[cuts[c] : cuts[c + 1]]
+            out[tokens] += log_shares(near[one[tokens]] + far[two[tokens]], following[low:high], bias[low:high], np.arange(len(tokens)), at[tokens] - low)
         return out / np.log(10)
 
 
-def log_sums(scores: np.ndarray) -> np.ndarray:
-    """Logarithms of the sums of the exponentials of each row."""
-    top = scores.max(axis=1)
-    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
+def log_shares(predicted: np.ndarray, vectors: np.ndarray, bias: np.ndarray, row: np.ndarray, column: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """log of the softmax over vectors of the predicted rows, at (row, column); row is sorted. By pieces that stay in a
+    processor's cache."""
+    out, step, turned, ones = np.empty(len(row)), max(1, most // len(bias)), np.ascontiguousarray(vectors.T), np.ones(len(bias), np.float32)
+    cuts = np.searchsorted(row, np.arange(0, len(predicted) + step, step))
+    room = np.empty((min(step, len(predicted)), len(bias)), np.float32)
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        part = predicted[i * step : (i + 1) * step]
+        scores = np.matmul(part, turned, out=room[: len(part)])
+        scores += bias
+        here = row[a:b] - i * step
+        found = scores[here, column[a:b]]
+        if scores.max(initial=0) > 60:  # beyond what sums of exponentials of this precision bear
+            scores -= (top := scores.max(axis=1))[:, None]
+        else:
+            top = np.zeros(1, np.float32)
+        np.exp(scores, out=scores)
+        out[a:b] = found - (np.log(scores @ ones) + top)[here]
+    return out
 
 
 def summed_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -384,7 +399,7 @@ def adder(size: int):
 def train_model(training: DataFrame, vocabulary: np.ndarray, share: np.ndarray, size: int, how: Training) -> Model:
     """A model of all training texts (text), of `size` bytes. Each text is learned from once, in its round and shard. A word's
     changes are averaged by how often the shards met it, the rest by their numbers of tokens. A shard sends the words that it
-    met only. The common start is made of the corpus-wide counts alone."""
+    met only, and shards are dealt to more partitions than there are shards, so that few tasks have two. The common start is made of the corpus-wide counts alone."""
     model = Model(vocabulary, share, how)
     if not model.k:
         return model
@@ -395,7 +410,7 @@ def train_model(training: DataFrame, vocabulary: np.ndarray, share: np.ndarray,
         sent = spark.sparkContext.broadcast(model)
 
         mine = marked.where(F.pmod("mark", F.lit(how.rounds)) == r)
-        changes = encoded(mine, sent, shards).groupBy("shard").applyInArrow(learner(sent, r, parts), "g long, shard long, n long, data binary")
+        changes = encoded(mine, sent, shards).repartition(4 * shards, "shard").groupBy("shard").applyInArrow(learner(sent, r, parts), "g long, shard long, n long, data binary")
         found = sorted(changes.groupBy("g").applyInArrow(adder(how.size), "g long, n long, data binary").toArrow().to_pylist(), key=lambda x: x["g"])
         n = sum(x["n"] for x in found)
         if n:

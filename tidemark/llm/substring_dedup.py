@@ -99,7 +99,7 @@ def sources_of(exchange: Exchange) -> DataFrame:
     # a minimizer may have segments in a third of all documents: they meet its mark in SALT tasks
     salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALT)))
     kinds = salted(distinct_edges(segments, "anchor"))
-    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long").alias("salt"))
+    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
     single = single_edges(exchange, salted(segments).join(open_, ["anchor", "salt"], "left_semi"))
     shared = kinds.join(open_, ["anchor", "salt"], "left_anti").drop("anchor", "salt").unionByName(distinct_edges(single)).where("key < last").drop("last")
     found = paths_of(saved(shared)).toDF("print", "tail", "n", "key", "from_chunk", "from_place", "path")
