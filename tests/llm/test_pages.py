@@ -1,3 +1,7 @@
+import re
+from collections import Counter
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -29,10 +33,13 @@ def labelled(spark):
 
 def test_mined_rules(spark):
     known = labelled(spark).select(url_tokens(url_host(spark_col("url")), url_path(spark_col("url"))).alias("tokens"), "bad")
-    rules = mine_rules(known)
+    rules = mine_rules(known, confidence=0.8)
     assert ("host:spam.io", "path1:buy") in [r for r, _ in rules]
     assert all(not set(a) < set(b) for a, _ in rules for b, _ in rules)
-    verdicts = filter_urls(spark.createDataFrame([(1, "http://new.spam.io/buy/9"), (2, "http://new.spam.io/read/9"), (3, "http://new.good.io/buy/9")], "page_id int, url string"), labelled(spark))
+    assert rules == mined_by_hand(labelled(spark).collect(), confidence=0.8)
+    assert mine_rules(known) == mined_by_hand(labelled(spark).collect())
+    assert mine_rules(known.where("not bad")) == [] and mine_rules(known.where("bad is null")) == []
+    verdicts = filter_urls(spark.createDataFrame([(1, "http://new.spam.io/buy/9"), (2, "http://new.spam.io/read/9"), (3, "http://new.good.io/buy/9")], "page_id int, url string"), labelled(spark), confidence=0.8)
     assert {r["page_id"]: r["verdict"] for r in verdicts.collect()} == {1: "block", 2: "allow", 3: "allow"}
 
 
@@ -51,10 +58,54 @@ def test_index_matches_as_sets_do(spark):
     assert got == want
 
 
-def test_url_query(spark):
-    out = op1_url_filter(spark, "/root/testdata/sf0.001")
-    assert out.count() == 50
-    assert out.where("verdict not in ('allow', 'block')").count() == 0
+def plain_tokens(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
+    parts = host.split(".")
+    out = ["host:" + ".".join(parts[-n:]) for n in (1, 2, 3, len(parts))] if host else []
+    return list(dict.fromkeys(out + [f"path{i}:{s}" for i, s in enumerate(path.split("/")) if i and s]))
+
+
+def mined_by_hand(rows, support=0.0005, confidence=0.0, lift=1.5, least=5):
+    """All combinations of all URLs' tokens, counted."""
+    rows = [(set(plain_tokens(u)), bad) for u, bad in rows if bad is not None]
+    every, bad = Counter(), Counter()
+    for tokens, b in rows:
+        for n in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), n):
+                every[c] += 1
+                bad[c] += b
+    n, usual = len(rows), sum(b for _, b in rows) / len(rows)
+    good = {c: bad[c] / every[c] for c in every if bad[c] >= max(least, support * n) and bad[c] / every[c] >= max(confidence, lift * usual - 1e-12)}
+    return sorted((c, p) for c, p in good.items() if not any(set(o) < set(c) for o in good))
+
+
+def test_url_query_against_rules_mined_by_hand(spark):
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()
+    bad = {r["doc_id"]: r["toxic"] == 1 or r["quality"] == 0 for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    number = {r["page_id"]: int(m[1]) for r in pages if (m := re.search(r"://[^/]*/(?:[a-z]*/)?(\d+)(?:[./?#]|$)", r["url"]))}
+    rules = mined_by_hand([(r["url"], bad[number[r["page_id"]]]) for r in pages if number.get(r["page_id"]) in bad])
+    assert len(rules) > 3
+    got = {r["page_id"]: r for r in op1_url_filter(spark, sf).collect()}
+    assert len(got) == len(pages)
+    blocked = 0
+    for r in pages:
+        tokens, g = set(plain_tokens(r["url"])), got[r["page_id"]]
+        best = max((p for c, p in rules if set(c) <= tokens), default=None)
+        assert g["confidence"] == best or abs(g["confidence"] - best) < 1e-12
+        if g["rule"] is None:
+            assert g["verdict"] == ("block" if best is not None else "allow")
+            blocked += best is not None
+    assert blocked > 0
+
+
+def test_columns_of_url_filters_own_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", 5, "mine")], "page_id int, url string, _fixed int, host string")
+    out = filter_urls(pages, labelled(spark)).first()
+    assert out["_fixed"] == 5 and out["host"] == "a.com"
+    long_url = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "com/en/" + "x" * 100_000)], "page_id int, url string")
+    assert filter_urls(long_url, labelled(spark)).first()["verdict"] == "block"
 
 
 def scene(seed, size=(160, 200)):
