@@ -94,8 +94,8 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], text: str
 
     The text's own profile has its `size` most frequent n-grams; each adds the difference of its ranks, or `size` if the
     language's profile lacks it. Of equally near languages the first by name is taken. `und` with score 0 if the text is
-    null, empty or has no letter, or if there are no profiles. Rows keep their other columns, text included; repeated rows
-    stay, and a column of the result's names is replaced. The profiles are `size` numbers a language and go to all tasks.
+    null, empty or has no letter, or if there are no profiles. Texts of any length are read whole. Rows keep their other columns, text included; repeated rows
+    stay, an empty table stays empty, and a column of the result's names is replaced. The profiles are `size` numbers a language and go to all tasks.
     """
     names = sorted(profiles)
     known = np.unique(np.array([g for v in profiles.values() for g in v], np.int64))
@@ -125,7 +125,11 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], text: str
             yield pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=["pred", "score"])
 
     kept = [c for c in docs.columns if c not in (pred, score)]
-    return docs.withColumn("_judged", judged(F.col(f"`{text}`"))).select(*(F.col(f"`{c}`") for c in kept), F.col("_judged.pred").alias(pred), F.col("_judged.score").alias(score))
+    own = "judged"
+    while own in docs.columns:
+        own += "_"
+    found = docs.withColumn(own, judged(F.col(f"`{text}`")))
+    return found.select(*(F.col(f"`{c}`") for c in kept), F.col(f"{own}.pred").alias(pred), F.col(f"{own}.score").alias(score))
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
