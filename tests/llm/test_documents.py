@@ -241,9 +241,9 @@ def test_scores_are_sums_of_log_softmaxes(spark):
     how = Training(often=5, least=60, rounds=2)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("length(text) < 3000").withColumn("learn", F.col("doc_id") % 4 > 0)
     got = {r["doc_id"]: r["score"] for r in score_texts(docs, "learn", how=how).collect()}
-    learned = docs.where("learn").select("text")
+    learned = docs.where("learn").select("doc_id", "text")
     size = learned.agg(F.sum(F.octet_length("text"))).first()[0]
-    model, counts, total, kinds = learned_model(learned, corpus_counts(learned, 3), size, how)
+    model, counts, total, kinds = learned_model(learned, corpus_counts(learned.select("text"), 3), size, how)
     w, all_counts = model.weights, Counter()
     rows = docs.collect()
     hashes = {r["doc_id"]: tokens(raw := np.frombuffer((r["text"] or "").encode(), np.uint8), np.array([0, len(raw)]))[0].tolist() for r in rows}

@@ -7,7 +7,7 @@ of the same kind, and scores are normalised over the bins and over the words of
 vocabulary is the words of the corpus above a count, the end of a text, and one class for all other words, among which a
 word has its add-one share of that class.
 
-Texts are dealt to shards by a hash of themselves, and shards to rounds. The shards of a round all start from the same
+Texts are dealt to rounds and shards by a hash of themselves and their keys. The shards of a round all start from the same
 weights, each learns from its texts in a fixed order, and their changes are averaged before the next round; so the model
 depends on the texts alone, not on how a table is partitioned, stored or sorted.
 """
@@ -397,14 +397,15 @@ def adder(size: int):
 
 
 def train_model(training: DataFrame, vocabulary: np.ndarray, share: np.ndarray, size: int, how: Training) -> Model:
-    """A model of all training texts (text), of `size` bytes. Each text is learned from once, in its round and shard. A word's
+    """A model of all training texts (text and what else tells rows apart, so that copies of a text lie in different shards),
+    of `size` bytes. Each text is learned from once, in its round and shard. A word's
     changes are averaged by how often the shards met it, the rest by their numbers of tokens. A shard sends the words that it
     met only, and shards are dealt to more partitions than there are shards, so that few tasks have two. The common start is made of the corpus-wide counts alone."""
     model = Model(vocabulary, share, how)
     if not model.k:
         return model
     spark = training.sparkSession
-    marked = training.select(F.xxhash64("text").alias("mark"), "text")
+    marked = training.select(F.xxhash64(*training.columns).alias("mark"), "text")
     shards, parts = how.shards_of(size), partitions(spark)
     for r in range(how.rounds):
         sent = spark.sparkContext.broadcast(model)
@@ -480,10 +481,10 @@ def score_texts(docs: DataFrame, training: str, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(training), F.lit(False)).alias("learn"))
-    learned = rows.where("learn").select("text")
+    learned = rows.where("learn").select("key", "text")
     sizes = {r["learn"]: r["size"] or 0 for r in rows.groupBy("learn").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     parts = max(partitions(spark), -(-sum(sizes.values()) // PART_BYTES))
-    counted = checkpointed(corpus_counts(learned, parts))
+    counted = checkpointed(corpus_counts(learned.select("text"), parts))
     model, counts, total, kinds = learned_model(learned, counted, sizes.get(True, 0), how)
     other, other_kinds = total - int(counts.sum()), kinds - len(counts)
     found = scored(rows, spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(counts), total)
