@@ -135,6 +135,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from tidemark.llm import common
+    from tidemark.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", 10)
+    monkeypatch.setattr(common, "HOT_SHARE", 50)
+    edges = [(1, i) for i in range(100, 400)] + [(2, i) for i in range(390, 500)] + [(i, i + 1) for i in range(600, 640)] + [(7, 8)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {1: 1, 2: 1, 7: 7, 8: 7} | {i: 1 for i in range(100, 500)} | {i: 600 for i in range(600, 641)}
+
+
 # --- language identification
 
 

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -39,22 +40,51 @@ def checkpointed(df: DataFrame) -> DataFrame:
 SAVED: list[str] = []
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and written as Parquet beside the checkpoints. Unlike a checkpoint it is compressed, and later steps
-    read only the columns that they need."""
+def saved(df: DataFrame, instead: list[str] | None = None) -> DataFrame:
+    """df, computed once and written as Parquet beside the checkpoints. Unlike a checkpoint it is compressed, later steps read
+    only the columns that they need, and Spark knows its size: the sizes that it estimates for checkpoints of joins of
+    checkpoints grow without bound. instead: paths that are no longer needed then; the new one takes their place."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     SAVED.append(path)
+    if instead is not None:
+        drop_saved(spark, instead)
+        instead.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(spark: SparkSession) -> None:
+def drop_saved(spark: SparkSession, paths: list[str] = SAVED) -> None:
     """Deletes what `saved` wrote: for callers whose results are written, as a DataFrame that needs it can't be read after."""
-    while SAVED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(SAVED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    while paths:
+        path = paths.pop()
+        if path in SAVED:
+            SAVED.remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: At most twice so many values are hot, as each has more than this share of the rows.
+HOT_SHARE = 10_000
+
+
+def hot_values(df: DataFrame, column: str, rows: int, least: int) -> DataFrame:
+    """(column, parts): the values that more than `least` of df's rows have, and more than one in HOT_SHARE, and how many tasks
+    should share them. There are fewer than HOT_SHARE of them whatever the data, so that they may be broadcast."""
+    most = max(least, rows // HOT_SHARE)
+    counts = df.groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return F.broadcast(counts.select(column, F.ceil(F.col("n") / most).cast("int").alias("parts")))
+
+
+def dealt_out(df: DataFrame, hot: DataFrame, column: str, by: str) -> DataFrame:
+    """df with `salt`: rows of a hot value are dealt to its parts by another column."""
+    return df.join(hot, column, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+
+
+def copied_out(df: DataFrame, hot: DataFrame, column: str) -> DataFrame:
+    """df with `salt`: rows of a hot value are copied to each of its parts."""
+    return df.join(hot, column, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, lower_bytes, mixed, table, text_bytes, word_hashes, words
+from .common import blocks, checkpointed, copied_out, dealt_out, hot_values, lower_bytes, mixed, table, text_bytes, word_hashes, words
 from .components import components
 
 #: 56 bands of 6 minima: documents of similarity 0.8 share no band once in 25 million.
@@ -161,9 +161,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def across(buckets: DataFrame, least: float) -> DataFrame:
-    """(b, block, found): for each row b of a bucket (bucket, id, component, size, block, tags, bits, n, major) the rows of
+    """(b, block, found): for each row b of a bucket (bucket, id, component, size, block, bands, bits, n, major) the rows of
     other components, by block, that pass the estimate; a pair is asked for by its row of the smaller component, and only in
-    the first band that it shares, which the high halves of its band keys tell.
+    the first band that it shares, which its band keys tell.
 
     A bucket's rows are dealt into parts of about BLOCK rows; those outside its major component go to all parts, and a task
     compares them with its part's rows by array operations.
@@ -172,15 +172,15 @@ def across(buckets: DataFrame, least: float) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), count).cast("int")
     minor = F.col("component") != F.col("major")
     dealt = buckets.withColumns({"own": own, "minor": minor}).withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), count - 1)).otherwise(F.array("own"))))
-    dealt = dealt.select("bucket", "part", "own", "minor", "id", "component", "size", "block", "tags", "bits")
+    dealt = dealt.select("bucket", "part", "own", "minor", "id", "component", "size", "block", "bands", "bits")
     chance = 2.0**-BITS
     most = int((1 - (chance + least * (1 - chance))) * BANDS * ROWS)
 
     def run(rows: pa.Table) -> pa.Table:
         lists = lambda c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
         ids, comp, size, block, own = (rows.column(c).to_numpy() for c in ("id", "component", "size", "block", "own"))
-        bits, tags, minor = lists("bits").view(np.uint64), lists("tags"), rows.column("minor").to_numpy()
-        tag = rows.column("bucket")[0].as_py() >> 32
+        bits, bands, minor = lists("bits").view(np.uint64), lists("bands"), rows.column("minor").to_numpy()
+        bucket = rows.column("bucket")[0].as_py()
         home = np.flatnonzero(own == rows.column("part")[0].as_py())
         asks, asked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for p in np.flatnonzero(minor):
@@ -189,8 +189,8 @@ def across(buckets: DataFrame, least: float) -> DataFrame:
             rest = rest[np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(EVEN)).sum(axis=1, dtype=np.int64) <= most]
             if not len(rest):
                 continue
-            same = tags[rest] == tags[p]
-            rest = rest[tags[p][same.argmax(axis=1)] == tag]
+            same = bands[rest] == bands[p]
+            rest = rest[bands[p][same.argmax(axis=1)] == bucket]
             mine = (size[p] < size[rest]) | ((size[p] == size[rest]) & (ids[p] > ids[rest]))
             asks.append(np.where(mine, p, rest))
             asked.append(np.where(mine, rest, p))
@@ -208,9 +208,11 @@ def across(buckets: DataFrame, least: float) -> DataFrame:
 def linked_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) among what was asked for, (b, block, found): one for each row b, block and component. members
     is (id, component, block); a block has some BLOCK rows of one component, and each of its tasks holds their sets and
-    meets one asking set after the other, so that candidate pairs are never rows."""
-    wanted = asked.groupBy("b", "block").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")).join(sets.select(F.col("id").alias("b"), "set"), "b")
-    there = members.join(asked.select("block").distinct(), "block", "left_semi").join(sets, "id").select("block", "id", F.col("set").alias("own"))
+    meets one asking set after the other, so that candidate pairs are never rows. A block that many ask has several tasks."""
+    wanted = checkpointed(asked.groupBy("b", "block").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")))
+    hot = hot_values(wanted, "block", wanted.count(), BLOCK)
+    there = copied_out(members.join(wanted.select("block").distinct(), "block", "left_semi"), hot, "block").join(sets, "id").select("block", "salt", "id", F.col("set").alias("own"))
+    wanted = dealt_out(wanted, hot, "block", "b").join(sets.select(F.col("id").alias("b"), "set"), "b")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right.column("id").to_numpy()
@@ -231,7 +233,7 @@ def linked_blocks(asked: DataFrame, members: DataFrame, sets: DataFrame, percent
                 b.append(max(who, int(good[0])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return wanted.groupBy("block").cogroup(there.groupBy("block")).applyInArrow(run, "a long, b long")
+    return wanted.groupBy("block", "salt").cogroup(there.groupBy("block", "salt")).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +242,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     A document's set is that of its runs of `size` words, A-Z lower-cased; with fewer words the whole sequence is the only
     one, and a null or empty text has none and is linked with nothing. Documents are linked if 100 * intersection >=
-    percent * union (percent of 80 or more). Rows that share a key share a component; a row with a null key is linked with
+    percent * union (percent of 80 or more, or the bands would miss links). An empty table gives no rows, and texts of any
+    length are read whole, one at a time. Rows that share a key share a component; a row with a null key is linked with
     nothing, has a null component and is kept.
 
     Documents with the same set form a class, found by an aggregation; classes that share a band key are candidates. Each
@@ -248,6 +251,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     proportion. Only buckets whose members then lie in different components are searched for pairs between those, in
     blocks; sets travel to blocks and not to pairs. No cap on buckets or partners.
     """
+    if percent < 80:
+        raise ValueError("the bands find links of 80 percent or more")
     marked = checkpointed(signatures(docs, key, text, size))
     real = marked.where("id is not null and n > 0")
     classes = checkpointed(real.groupBy("x", "y", "n").agg(F.min_by(F.struct("id", "bands", "bits"), "id").alias("r")).select("x", "y", "n", "r.id", "r.bands", "r.bits"))
@@ -270,8 +275,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     members = checkpointed(placed.select("id", "component", F.coalesce("size", F.lit(1)).alias("size")).select("id", "component", "size", F.xxhash64("component", part).alias("block")))
     together = buckets.select("bucket", "id", "n").join(members, "id")
     split = together.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("size", "component")).alias("major")).where("low <> high").select("bucket", "major")
-    tags = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("tags")
-    open_ = together.join(split, "bucket").join(classes.select("id", tags, "bits"), "id")
+    open_ = together.join(split, "bucket").join(classes.select("id", "bands", "bits"), "id")
     asked = checkpointed(across(open_, least))
     links = links.unionByName(linked_blocks(asked, members, sets, percent))
     found = checkpointed(components(links))
