@@ -294,3 +294,58 @@ def test_scores_beat_unigrams_and_bigrams_on_held_out_texts(spark):
     bigram = sum(math.log10((pairs[p] + 1) / (before[p[0]] + kinds + 1)) for t in texts[True] for p in zip(["<s>", *t], t))
     assert out[0] > bigram
     assert (out[0] - out[1]) / out[2] > 0.03
+
+
+# --- language identification by hand
+
+
+def grams_by_hand(text):
+    """Characters, pairs and triples within words that are padded by one blank; no blank alone, none in the middle of three."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    out = Counter()
+    for w in words:
+        out.update(w)
+    line = f" {' '.join(words)} " if words else ""
+    out.update(line[i : i + 2] for i in range(len(line) - 1))
+    out.update(line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " ")
+    return out
+
+
+def order_of(text):
+    """The number that an n-gram's letters are: the first highest."""
+    n = 0
+    for c in text:
+        n = (n << 21) | ord(c)
+    return n
+
+
+def profile_by_hand(counts, size=400):
+    return sorted(counts, key=lambda g: (-counts[g], order_of(g)))[:size]
+
+
+def test_language_query_against_distances_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows}
+    counts = {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] is not None and r["text"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(grams_by_hand(r["text"]))
+    profiles = {k: {g: i for i, g in enumerate(profile_by_hand(v))} for k, v in counts.items()}
+    got = {r["doc_id"]: r for r in op9_language_id(spark, sf).collect()}
+    assert got.keys() == held.keys() and all(got[k]["held_out"] == v for k, v in held.items())
+    for r in rows:
+        own = profile_by_hand(grams_by_hand(r["text"]))
+        if not own:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        apart = {k: sum(abs(p[g] - i) if g in p else 400 for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert abs(got[r["doc_id"]]["score"] - (1 - apart[best] / (400 * len(own)))) < 1e-9
+
+
+def test_language_keeps_a_column_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "the text", "en", 5, 6)], "doc_id long, text string, lang string, judged int, _judged int")
+    out = identify_language(docs, learn_profiles(docs)).first()
+    assert (out["judged"], out["_judged"], out["lang_pred"]) == (5, 6, "en")

@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -8,8 +9,8 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import Codec, bpe_encode_decode
-from tidemark.llm.token_counts import pieces, token_counts
+from tidemark.llm.bpe import Codec, bpe_encode_decode, op5_bpe
+from tidemark.llm.token_counts import op10_token_counts, pieces, token_counts
 
 TRICKY = st.text(alphabet=st.one_of(st.sampled_from("abcdeXYZ '’.,!?\n\t 0123éÉßİΣς日本ａ́<|>"), st.characters(codec="utf-8")), max_size=80)
 
@@ -74,3 +75,37 @@ def test_pieces_have_the_texts_tokens(vocabulary, text, most):
     cut = pieces(text, most)
     assert "".join(cut) == text
     assert [i for p in cut for i in library.encode(p, add_special_tokens=False).ids] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoding_query(spark, vocabulary):
+    sf = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in op5_bpe(spark, sf).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got.keys() == texts.keys()
+    for k, text in texts.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert got[k] == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_count_query(spark, vocabulary):
+    sf = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n = len(library.encode(r["text"] or "", add_special_tokens=False).ids)
+        want[r["doc_id"]] = (len((r["text"] or "").encode()), n, n > 512)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in op10_token_counts(spark, sf).collect()} == want
+
+
+def test_one_piece_of_half_a_million_letters(spark, vocabulary):
+    """A text without a place to cut it is counted whole."""
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = ["日本語" * 60_000, "QUJD" * 100_000]
+    rows = token_counts(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), vocabulary("byte_bpe_50k.json")).collect()
+    assert {r["id"]: r["n_tokens"] for r in rows} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
