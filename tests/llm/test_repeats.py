@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -140,6 +141,21 @@ def test_several_transforms_of_a_part(spark, monkeypatch):
     assert found(out, "kept") == expected(rows, 30, as_bytes, bytes)
 
 
+def test_mail_where_all_bytes_repeat(spark, monkeypatch):
+    """All segments then are candidates, of which the mail has a fingerprint, a minimizer and a key once."""
+    rng = np.random.default_rng(11)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(150)]
+    rows = [(1000 * k + i, t) for k in range(3) for i, t in enumerate(texts)]
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 100_000)
+    monkeypatch.setattr(repeats, "LARGE_CHUNK", 100_000)
+    mail, asked = [], suffix_dedup.Exchange.asked
+    monkeypatch.setattr(suffix_dedup.Exchange, "asked", lambda self, sent, answer: [mail.append(sent), out := asked(self, sent, answer), mail.append(out)][1])
+    out = remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r["n_removed"] for r in out.where("doc_id >= 1000").collect()} == {2000}
+    sent = sum(len(zlib.compress(bytes(r["data"]), 1)) for m in mail for r in m.select("data").collect())
+    assert sent < 1.9 * sum(len(t) for _, t in rows)
+
+
 @pytest.mark.parametrize(("query", "symbols", "join"), [(op4_suffix_dedup, as_bytes, bytes), (op7_substring_dedup, as_words, b" ".join)])
 def test_queries(spark, query, symbols, join):
     sf = "/root/testdata/sf0.001"
