@@ -5,7 +5,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tidemark.llm.media import agreeing, decode_image, described_batch, encode_image, filed_together, image_copies, matches, op2_media_copies, page_images, pattern
+from tidemark.llm import media
+from tidemark.llm.media import agreeing, decode_image, described_batch, encode_image, filed_together, image_copies, matches, near, op2_media_copies, page_images, pattern
 from tidemark.llm.url_filter import filter_urls, match_rules, mine_rules, op1_url_filter, url_host, url_path, url_tokens
 
 URLS = [
@@ -203,6 +204,37 @@ def test_links_against_all_pairs(spark):
     assert all(apart[a] == apart[c] for a, c in got.items())
 
 
+def corners_of(*images):
+    n, corners = described_batch([encode_image(x) for x in images], pattern())
+    at = np.concatenate([[0], np.cumsum(n)])
+    return [tuple(corners[k][a:b] for k in ("place", "low", "high")) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_near_descriptors_are_all_found():
+    a = scene(31)
+    one, two = corners_of(a, np.clip(a + np.random.default_rng(1).normal(0, 20, a.shape), 0, 255))
+    i, j = near(*one[1:], *two[1:], 16)
+    assert sorted(zip(one[0][i], two[0][j], strict=True)) == sorted(zip(*matches(one, two, 16), strict=True)) and len(i) > 100
+    none = np.zeros(0, np.uint64)
+    assert len(near(none, none, *two[1:], 16)[0]) == len(near(*one[1:], none, none, 16)[0]) == 0
+
+
+def test_links_without_equal_halves(spark, monkeypatch):
+    """Noisy copies with enough corners that match, but too few whose halves are equal; blocks of about one picture."""
+    monkeypatch.setattr(media, "BLOCK", 100)
+    rows = []
+    for seed in range(400, 440):
+        a = scene(seed, (60, 80))
+        b = np.clip(a + np.random.default_rng(seed).normal(0, 26, a.shape), 0, 255)
+        one, two = corners_of(a, b)
+        if len(filed_together(one, two, 16)[0]) < 6 and agreeing(*matches(one, two, 16)) >= 6:
+            rows += [(2 * seed, encode_image(a)), (2 * seed + 1, encode_image(b))]
+    rows = rows[:8]
+    assert len(rows) == 8
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert got == {k: (k // 2 * 2, 1) for k, _ in rows}
+
+
 def test_image_formats():
     a = scene(4, (8, 12))
     assert np.allclose(decode_image(encode_image(a)), a / 255, atol=1e-6)
