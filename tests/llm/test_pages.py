@@ -219,6 +219,41 @@ def test_near_descriptors_are_all_found():
     assert len(near(none, none, *two[1:], 16)[0]) == len(near(*one[1:], none, none, 16)[0]) == 0
 
 
+@pytest.mark.parametrize("within", [0, 1, 5, 16, 20])
+def test_near_at_any_distance_and_step(monkeypatch, within):
+    """Also where one value has more corners than are compared at once, and in another order of the bits."""
+    monkeypatch.setattr(media, "COMPARED", 50)
+    monkeypatch.setattr(media, "LOOKED", 64)
+    a = scene(32)
+    one, two = corners_of(a, np.clip(a + np.random.default_rng(2).normal(0, 12, a.shape), 0, 255))
+    one, two = (tuple(np.concatenate([v, w[:20].repeat(10)]) for v, w in zip(x, one, strict=True)) for x in (one, two))
+    apart = np.bitwise_count(one[1][:, None] ^ two[1]) + np.bitwise_count(one[2][:, None] ^ two[2])
+    want = sorted(zip(*np.nonzero(apart <= within), strict=True))
+    order = media.balanced(*two[1:])
+    assert sorted(order.tolist()) == list(range(128)) and len(want) > 100
+    assert sorted(zip(*near(*one[1:], *two[1:], within), strict=True)) == want
+    turned = [x for v in (one, two) for x in media.reordered(*v[1:], order)]
+    assert sorted(zip(*near(*turned, within), strict=True)) == want
+    assert sorted(zip(*near(*turned, within, lambda i, j: i > j), strict=True)) == [(i, j) for i, j in want if i > j]
+
+
+def test_parts_of_bits_that_depend_little_on_each_other(spark):
+    """Most time goes to pairs of corners whose parts are near. On pages' corners there are some 60 % as many as where parts are
+    the bits as they come, six that may differ in two bits each."""
+    images = page_images(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")).collect()
+    corners = described_batch([r["image"] for r in images], pattern())[1]
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, len(corners["low"]), (2, 400_000))
+
+    def compared(halves, cuts, flips):
+        return sum((np.bitwise_count((v[a] ^ v[b]) >> np.uint64(f) & np.uint64((1 << n) - 1)) <= next(flips)).sum() for v, c in zip(halves, cuts, strict=True) for f, n in c)
+
+    plain = (corners["low"], corners["high"])
+    before = compared(plain, [((0, 22), (22, 21), (43, 21))] * 2, iter([2] * 6))
+    order = media.balanced(*(v[:: len(v) // 20_000 + 1] for v in plain))
+    assert compared(media.reordered(*plain, order), media.CUTS, iter([2, 2, 2, 2, 2, 1])) < 0.7 * before
+
+
 def test_links_without_equal_halves(spark, monkeypatch):
     """Noisy copies with enough corners that match, but too few whose halves are equal; blocks of about one picture."""
     monkeypatch.setattr(media, "BLOCK", 100)
