@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import repeats, suffix_dedup
+from tidemark.llm.common import CLEANUP, saved
 from tidemark.llm.substring_dedup import op7_substring_dedup, remove_repeated_words
 from tidemark.llm.suffix_dedup import bounds, op4_suffix_dedup, remove_repeated_bytes, suffix_order
 
@@ -124,6 +125,16 @@ def test_no_rows(spark):
     assert remove_repeated_words(only, length=2).where("n_removed > 0").count() == 0
 
 
+def test_no_shuffle_outlives_what_is_saved(spark):
+    """Each step of the graph shuffles all text again, so that files of ended steps would add up to several times the input."""
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in held.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    out = saved(spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").agg({"id": "sum"}))
+    assert files() <= before and spark.conf.get(CLEANUP, None) == setting
+    assert out.count() == 7
+
+
 @settings(max_examples=60, deadline=None)
 @given(text=st.lists(st.integers(0, 3), min_size=1, max_size=60), length=st.integers(1, 20))
 def test_bounds_are_common_prefixes(text, length):
