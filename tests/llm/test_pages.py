@@ -238,7 +238,7 @@ def test_near_at_any_distance_and_step(monkeypatch, within):
 
 
 def test_parts_of_bits_that_depend_little_on_each_other(spark):
-    """Most time goes to pairs of corners whose parts are near. On pages' corners there are some 60 % as many as where parts are
+    """Most time goes to pairs of corners whose parts are near. On pages' corners they are less than 70 % of those where parts are
     the bits as they come, six that may differ in two bits each."""
     images = page_images(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")).collect()
     corners = described_batch([r["image"] for r in images], pattern())[1]
