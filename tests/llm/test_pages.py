@@ -270,6 +270,32 @@ def test_links_without_equal_halves(spark, monkeypatch):
     assert got == {k: (k // 2 * 2, 1) for k, _ in rows}
 
 
+def test_corners_are_written_once_and_not_shuffled(spark, monkeypatch):
+    """Of all tables that are saved one has corners, and no shuffle before any of them has, in several blocks of images that
+    have tokens in common."""
+    monkeypatch.setattr(media, "BLOCK", 300)
+    tables, plans, save = [], [], media.saved
+
+    def watched(df, *args, **named):
+        tables.append(df.columns)
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return save(df, *args, **named)
+
+    monkeypatch.setattr(media, "saved", watched)
+    a = scene(50)
+    images = spark.createDataFrame([(i, encode_image(np.roll(a, 40 * i, axis=1))) for i in range(5)], "id long, image binary")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["id"]: (r["class_id"], r["n_features"]) for r in image_copies(images).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert {c for c, _ in got.values()} == {0} and sum(n for _, n in got.values()) > 2 * media.BLOCK
+    assert sum("low" in t for t in tables) == 1
+    shuffled = [columns for plan in plans for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert len(shuffled) > 3 and not [x for x in shuffled if re.search(r"\blow", x)]
+
+
 def test_image_formats():
     a = scene(4, (8, 12))
     assert np.allclose(decode_image(encode_image(a)), a / 255, atol=1e-6)
