@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -219,6 +220,19 @@ def test_near_descriptors_are_all_found():
     assert len(near(none, none, *two[1:], 16)[0]) == len(near(*one[1:], none, none, 16)[0]) == 0
 
 
+def test_order_of_parts_and_memory_of_their_tables():
+    """A table for 23 bits takes 64 MB and little more, whatever the descriptors."""
+    values = np.random.default_rng(6).integers(0, 300, 2000)
+    order, there = media.by_value(values)
+    assert order.tolist() == np.argsort(values, kind="stable").tolist() and there.tolist() == sorted(values.tolist())
+    tracemalloc.start()
+    halves = values.astype(np.uint64)
+    assert sum(len(i) for i, _ in media.lookups(values[:9], halves[:9], values, halves, 23, 0, 64)) == sum((values == v).sum() for v in values[:9])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20
+
+
 @pytest.mark.parametrize("within", [0, 1, 5, 16, 20])
 def test_near_at_any_distance_and_step(monkeypatch, within):
     """Also where one value has more corners than are compared at once, and in another order of the bits."""
