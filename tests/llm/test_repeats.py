@@ -167,6 +167,24 @@ def test_mail_where_all_bytes_repeat(spark, monkeypatch):
     assert sent < 1.9 * sum(len(t) for _, t in rows)
 
 
+def test_mail_does_not_grow_with_copies(spark, monkeypatch):
+    """A text that an earlier document has sends a digest; its segments are those of that document."""
+    rng = np.random.default_rng(12)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(150)]
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 100_000)
+    monkeypatch.setattr(repeats, "LARGE_CHUNK", 100_000)
+    mail, asked = [], suffix_dedup.Exchange.asked
+    monkeypatch.setattr(suffix_dedup.Exchange, "asked", lambda self, sent, answer: [mail.append(sent), out := asked(self, sent, answer), mail.append(out)][1])
+    sent = []
+    for copies in (1, 4):
+        mail.clear()
+        rows = [(1000 * k + i, t) for k in range(copies) for i, t in enumerate(texts)]
+        out = remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+        assert {(r["doc_id"] >= 1000, r["n_removed"]) for r in out.collect()} == {(k > 0, 2000 * (k > 0)) for k in range(copies)}
+        sent.append(sum(len(bytes(r["data"])) for m in mail for r in m.where("kind <> 'state'").select("data").collect()))
+    assert sent[1] < 1.5 * sent[0]
+
+
 @pytest.mark.parametrize(("query", "symbols", "join"), [(op4_suffix_dedup, as_bytes, bytes), (op7_substring_dedup, as_words, b" ".join)])
 def test_queries(spark, query, symbols, join):
     sf = "/root/testdata/sf0.001"
