@@ -65,6 +65,20 @@ def test_every_version_after_maintenance(items):
     assert held(items.changes("items", 0).drop("rowid")) == feed
 
 
+def test_statistics_sort_no_rows(lake, spark, monkeypatch):
+    """Least and greatest texts would be found by sorting all rows of a written file in the memory of one task."""
+    lake.create_table("t", "id bigint, name string")
+    plans, kind = [], type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: [plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self)][1])
+    lake.insert("t", spark.range(100).selectExpr("id", "concat('n', id) AS name"))
+    lake.insert("t", spark.range(100, 200).selectExpr("id", "concat('n', id) AS name"))
+    lake.merge_adjacent("t")
+    found = [p for p in plans if "min(c" in p]
+    assert len(found) == 3 and not any("Sort" in p for p in found)
+    assert held(lake.file_stats("t").where("column = 'name'").agg(F.min("min"), F.max("max"), F.sum("rows"))) == [("n0", "n99", 200)]
+
+
 def test_compaction_then_cleanup(lake, spark):
     """Four files, of which the first two lose rows, so only the last two merge; cleanup lists these and then none."""
     lake.create_table("f", "id bigint, amount bigint")

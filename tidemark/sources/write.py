@@ -86,6 +86,8 @@ def file_stats(spark: SparkSession, folder: str, schema: T.StructType, columns:
         exprs += [F.min(value).cast("string").alias(f"l{i}"), F.max(above).cast("string").alias(f"h{i}"), F.count_if(null).alias(f"z{i}")]
         exprs.append(F.coalesce(F.bool_or(F.isnan(low)), F.lit(False)).alias(f"a{i}") if real else F.lit(False).alias(f"a{i}"))
     exprs += [F.to_json(F.struct(*geometry_stats(F.col(n)))).alias(f"g{columns[n]}") for n in shapes]
+    # least and greatest texts are aggregated by sorting all rows, except beside an aggregate that keeps objects
+    exprs.append(F.collect_set(F.lit(None).cast("string")).alias("unsorted"))
     out = {}
     for r in df.groupBy(file_name().alias("f")).agg(*exprs).collect():
         stats = {p: {"nulls": r[f"z{i}"], "min": r[f"l{i}"], "max": r[f"h{i}"], **({"nan": True} if r[f"a{i}"] else {})} for i, (p, *_) in enumerate(found)}
