@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import ConflictError, Lake, LakeError, When
+from tidemark.operators import maintain
+from tidemark.sources import scan
 
 
 @pytest.fixture
@@ -79,6 +81,27 @@ def test_statistics_sort_no_rows(lake, spark, monkeypatch):
     assert held(lake.file_stats("t").where("column = 'name'").agg(F.min("min"), F.max("max"), F.sum("rows"))) == [("n0", "n99", 200)]
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_files_are_rewritten_at_once(lake, spark, monkeypatch, most):
+    """However many files lost rows, one write takes them all; with a list of deleted rows to broadcast and one to join."""
+    for module in (scan, maintain):
+        monkeypatch.setattr(module, "BROADCAST_FILES", most, raising=False)
+    lake.create_table("t", "id bigint, name string")
+    for i in range(4):
+        lake.insert("t", spark.range(1000 * i, 1000 * i + 1000).selectExpr("id", "concat('n', id) AS name"))
+    lake.delete("t", "id % 2 = 0 AND id < 3000")
+    version, was = lake.version(), held(lake.table("t", lineage=True).drop("_file", "_pos"))
+    writes, stage = [], maintain.stage
+    monkeypatch.setattr(maintain, "stage", lambda *a, **b: writes.append(1) or stage(*a, **b))
+    files = len(lake.files("t"))
+    lost = len([f for f in lake.files("t") if int(f.stats[str(lake.state().table("t").column("id").id)]["max"]) < 3000])
+    assert lake.rewrite_deleted("t") == lost < files and len(writes) == 1
+    assert lake.global_stats("t")["deleted"] == 0 and len(lake.files("t")) == files - lost + 1
+    assert held(lake.table("t", lineage=True).drop("_file", "_pos")) == was
+    assert held(lake.table("t", version=version, lineage=True).drop("_file", "_pos")) == was
+    assert lake.rewrite_deleted("t") == 0
+
+
 def test_compaction_then_cleanup(lake, spark):
     """Four files, of which the first two lose rows, so only the last two merge; cleanup lists these and then none."""
     lake.create_table("f", "id bigint, amount bigint")
